@@ -129,7 +129,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
     the packed texts of all documents that may have some (k_id, k_hash, packed; rows repeat as in docs)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     anchors = stage(_anchors(docs, window, gram), "anchors")
-    groups = anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = stage(anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "groups")  # as a table, so that a hot group's join can be split
     active = anchors.join(groups, "g").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "g", (F.col("n") > group_cap).alias("split")))).alias("found"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,23 +139,22 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
     texts = stage(docs.select(*doc_key(), "text").mapInArrow(packed, "k_id long, k_hash long, packed binary").join(active, ["k_id", "k_hash"]), "active")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of anchors to split by the longest prefix a row a window, of others one with the words of their windows."""
+        """A row an anchor: the words of its windows, and a hash of these."""
         for b in batches:
-            rows, key, first, last, words = [], [], [], [], []
+            rows, key, same, first, last, words, split = [], [], [], [], [], [], []
             for k, (data, found) in enumerate(zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True)):
                 h = _hashes(_words(unpack(data)))
-                full = _sequence(h, window).view(np.int64) if any(x["split"] for x in found) else None
                 for x in found:
-                    if x["split"]:
-                        for s in range(x["lo"], x["hi"] + 1):
-                            rows.append(k), key.append(int(full[s])), first.append(s), last.append(s), words.append(None)
-                    else:
-                        rows.append(k), key.append(x["g"]), first.append(x["lo"]), last.append(x["hi"]), words.append(h[x["lo"] : x["hi"] + window].tobytes())
+                    part = h[x["lo"] : x["hi"] + window].tobytes()
+                    rows.append(k), key.append(x["g"]), first.append(x["lo"]), last.append(x["hi"]), words.append(part), split.append(x["split"]), same.append(xxhash.xxh3_64_intdigest(part))
             at = pa.array(rows, pa.int64())
-            yield pa.record_batch([b.column("k_id").take(at), b.column("k_hash").take(at), pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(words, pa.binary())], ["k_id", "k_hash", "key", "lo", "hi", "words"])
+            yield pa.record_batch(
+                [b.column("k_id").take(at), b.column("k_hash").take(at), pa.array(key, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(words, pa.binary()), pa.array(split, pa.bool_())],
+                ["k_id", "k_hash", "key", "same", "lo", "hi", "words", "split"],
+            )
 
     fields = "k_id long, k_hash long, lo int, hi int"
-    leaves = stage(texts.mapInArrow(suffixes, "k_id long, k_hash long, key long, lo int, hi int, words binary"), "suffixes")
+    leaves = stage(texts.mapInArrow(suffixes, "k_id long, k_hash long, key long, same long, lo int, hi int, words binary, split boolean"), "suffixes")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; a group is built when its last row is there."""
@@ -182,11 +181,34 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
         if held and sum(x.num_rows for x in held):
             yield from build(pa.Table.from_batches(held))
 
-    small = leaves.filter("words is not null")
+    small = leaves.filter("not split").select("k_id", "k_hash", "key", "lo", "hi", "words")
     tree = small.repartition("key").sortWithinPartitions("key").mapInArrow(subtrees, fields)
-    split = leaves.filter("words is null").select("key", "k_id", "k_hash", "lo", "hi")
-    deep = split.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return tree.union(split.join(deep, "key").select("k_id", "k_hash", "lo", "hi")), texts
+    return tree.union(_split_groups(leaves.filter("split"), window)), texts
+
+
+def _split_groups(leaves: DataFrame, window: int) -> DataFrame:
+    """Groups over the cap, by their prefixes of `window` words. Suffixes with the same words around are counted first, so the copies of
+    a passage make one row; prefixes are counted with these numbers, and no group of either kind meets in a task."""
+    contexts = leaves.groupBy("same").agg(F.count("*").alias("n"), F.any_value("words").alias("words"))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full = [_sequence(np.frombuffer(w, np.uint64), window).view(np.int64) for w in b.column("words").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(full)), [len(x) for x in full]))
+            off = np.concatenate([np.arange(len(x), dtype=np.int32) for x in full] or [np.zeros(0, np.int32)])
+            yield pa.record_batch([b.column("same").take(at), b.column("n").take(at), pa.array(off), pa.array(np.concatenate(full or [np.zeros(0, np.int64)]))], ["same", "n", "off", "prefix"])
+
+    starts = stage(contexts.mapInArrow(prefixes, "same long, n long, off int, prefix long"), "prefixes")
+    deep = starts.groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1").select("prefix")
+    found = starts.join(deep, "prefix").groupBy("same").agg(F.sort_array(F.collect_set("off")).alias("offs"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(k, a, z) for k, offs in enumerate(b.column("offs").to_pylist()) for a, z in _runs(np.array(offs))]
+            yield pa.record_batch([b.column("same").take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())], ["same", "a", "z"])
+
+    spans = found.mapInArrow(runs, "same long, a int, z int")
+    return leaves.select("k_id", "k_hash", "same", "lo").join(spans, "same").select("k_id", "k_hash", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z")).alias("hi"))
 
 
 def _sha(words: list[bytes]) -> str:
