@@ -47,26 +47,23 @@ def identity(words: list[bytes]) -> tuple[int, int]:
 
 
 def half_keys(words: list[bytes]) -> list[int]:
-    """Keys of the halves that one edit spares. Tagged in the lowest bits: 0, 1 replacement with the left or right half
-    intact; 2, 3 as the shorter line; 4, 5 as the longer one of an insertion."""
+    """Keys of the halves that one edit spares, for lines of n and of n - 1 words as the shorter ones. Tagged in the
+    lowest bits, which say what the line is if another one has the key: 0, 1 as long as the other or shorter (left or right half intact);
+    2, 3 longer."""
     n = len(words)
-    if n < MIN_WORDS:
-        return []
     out = []
-    for tag, c, size in ((0, n // 2, n), (2, n // 2, n), (4, (n - 1) // 2, n - 1)):
-        if tag == 4 and size < MIN_WORDS:
-            continue
-        kind = b"r" if tag == 0 else b"i"
-        for side, part in ((0, words[:c]), (1, words[n - c :])):
-            x = xxhash.xxh3_64_intdigest(b"%s%d %d " % (kind, side, size) + b" ".join(part))
-            out.append(_signed(x & ~7 | tag | side))
+    for tag, size in ((0, n), (2, n - 1)):
+        if size >= MIN_WORDS:
+            c = size // 2
+            for side, part in ((0, words[:c]), (1, words[n - c :])):
+                x = xxhash.xxh3_64_intdigest(b"%d %d " % (side, size) + b" ".join(part))
+                out.append(_signed(x & ~3 | tag | side))
     return out
 
 
 def _bare(key: Column) -> Column:
     """A half key without the role in it: the shorter and the longer line meet."""
-    tag = key.bitwiseAND(F.lit(7))
-    return key.bitwiseAND(F.lit(-8)).bitwiseOR(F.when(tag < 2, 0).otherwise(1).cast("long"))
+    return key.bitwiseAND(F.lit(-3).cast("long"))
 
 
 def deletion_hashes(words: list[bytes]) -> tuple[int, np.ndarray]:
@@ -91,9 +88,9 @@ def variants(words: list[bytes], roles: set[int]) -> list[tuple[int, int]]:
     n = len(words)
     whole, without = deletion_hashes(words)
     out: set[tuple[int, int]] = set()
-    if roles & {2, 3}:
+    if roles & {0, 1}:
         out.add((_key(1, n, 0, whole), SELF))
-    for tag, role, c in ((0, REPLACED, n // 2), (4, DELETED, (n - 1) // 2)):
+    for tag, role, c in ((0, REPLACED, n // 2), (2, DELETED, (n - 1) // 2)):
         places: set[int] = set()
         if tag in roles:
             places.update(range(c, n))
@@ -142,7 +139,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = stage(lines.groupBy("l1", "l2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct")
     halves = distinct.select("l1", "l2", "first", F.explode("keys").alias("half")).withColumn("meet", _bare(F.col("half")))
     shared = halves.groupBy("meet").agg(F.min("l1").alias("least"), F.max("l1").alias("most")).filter("least <> most").select("meet")
-    roles = halves.join(shared, "meet").groupBy("first.k_id", "first.k_hash", "first.place").agg(F.collect_set(F.col("half").bitwiseAND(F.lit(7)).cast("int")).alias("roles"))
+    roles = halves.join(shared, "meet").groupBy("first.k_id", "first.k_hash", "first.place").agg(F.collect_set(F.col("half").bitwiseAND(F.lit(3)).cast("int")).alias("roles"))
     wanted = roles.groupBy("k_id", "k_hash").agg(F.collect_list(F.struct("place", "roles")).alias("wanted"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
