@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from .common import Capped, prepare
 
 #: Memo sizes per Python worker.
-MEMO_CHUNKS, MEMO_PAIRS = 500_000, 1_000_000
+MEMO_CHUNKS, MEMO_PAIRS = 400_000, 500_000
 #: White space that both this module and the normaliser take as a separator.
 SEPARATORS = " \t\n\r"
 #: The pre-tokenizer's pattern, restricted to lower-case ASCII.
