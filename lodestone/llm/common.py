@@ -55,6 +55,14 @@ def doc_key() -> list[Column]:
     ]
 
 
+def hash_sample(docs: DataFrame, n: int) -> DataFrame:
+    """About n rows of docs (doc_id, text without nulls), those with the least hashes. Only hashes are sorted; texts are filtered by the greatest
+    hash that belongs, so no task gathers the texts that other tasks looked at."""
+    hashed = docs.filter("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    cut = hashed.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return hashed.filter(F.col("h") <= F.lit(cut)).limit(n).drop("h") if cut is not None else hashed.limit(0).drop("h")
+
+
 def pack(text: str | None, tool=zstandard.ZstdCompressor(level=1)) -> bytes | None:
     """Texts cross shuffles compressed."""
     return None if text is None else tool.compress(text.encode("utf-8", "surrogatepass"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import hash_sample, prepare
 
 # The base patterns, their kinds in order and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -195,15 +195,14 @@ def labelled_values(text: str) -> list[tuple[str, str]]:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Formats:
-    """From a bounded sample of documents, taken by a hash of their texts."""
+    """From a bounded sample of documents, taken by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [x for t in b.column("text").to_pylist() for x in labelled_values(t or "")]
             yield pa.record_batch([pa.array([x[0] for x in got], pa.string()), pa.array([x[1][: DEPTH + 1] for x in got], pa.string())], ["label", "value"])
 
-    order = F.xxhash64("text")
-    sample = docs.select(order.alias("h"), "text").orderBy("h", "text").limit(train_docs).select("text").mapInArrow(run, "label string, value string")
+    sample = hash_sample(docs, train_docs).select("text").mapInArrow(run, "label string, value string")
     labelled: dict[str, list[str]] = {}
     for row in sample.distinct().orderBy("label", F.xxhash64("value"), "value").limit(TRAIN_VALUES * 8).collect():
         values = labelled.setdefault(row.label, [])
