@@ -15,7 +15,7 @@ MANIFEST = "path string, sha string"
 
 
 def _git(root: str, *args: str, data: bytes | None = None) -> bytes:
-    return subprocess.run(["git", "-C", root, *args], input=data, capture_output=True, check=True).stdout
+    return subprocess.run(["git", "--no-optional-locks", "-C", root, *args], input=data, capture_output=True, check=True).stdout
 
 
 def worktree_files(root: str) -> list[tuple[str, str]]:
