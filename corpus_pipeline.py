@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; docs are rows of `documents`. All but the last return the columns of
 documents. Stages: quality rules (rejected rows go), line dedup (texts lose lines that came earlier, rows that lose all
-their lines go), SimHash near-dedup (of each group the row with the least id
+their lines go), near-dedup (sets of five-word shingles with a Jaccard similarity of 0.8 or more are near copies; of each group the row with the least id
 stays), benchmark decontamination
 (contaminated rows go), BPE encoding and decoding.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, line_dedup, quality, simhash
+from lodestone.llm import bpe, decontaminate, line_dedup, near_copies, quality
 from lodestone.llm.common import stage, table
 from lodestone.llm.queries import tokenizer_path
 
@@ -28,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
