@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
 Base rules reject texts of fewer than MIN_WORDS words, or with over 30 % of their words in 8-word windows that occur
-twice or more. The learnt rules cut measured ratios. For each stratum (language) and rule, a cutoff of a fixed grid is safe if the exact
-binomial tail of the good labelled documents that it rejects shows, at level DELTA divided by all tests
-(Bonferroni), that it rejects less than RISK / rules of the stratum's good documents. The strictest safe cutoff is taken; a rule without one is
-off in that stratum. So with probability 1 - DELTA the learnt rules together reject less than RISK of the good documents in every stratum.
+twice or more. The learnt rules cut measured ratios. For each stratum (language) a sequence of rule
+sets is fixed, each at least as strict as the one before, from the good documents of all other strata alone. In this order the exact binomial tail
+of the stratum's good labelled documents that a whole set rejects is tested against RISK at level DELTA / strata; the first set that
+isn't shown safe ends the sequence and the set before it is taken (fixed-sequence testing: the level isn't divided by the tests). So with probability 1 - DELTA the
+learnt rules together reject less than RISK of the good documents in every stratum. A stratum without a safe set has none; it takes
+ln(strata / DELTA) / -ln(1 - RISK) good documents to have one (217 with four strata).
 
 Words are runs of what isn't white space (space, tab to carriage return). Null texts have no words. Rows without
-language, or of one without safe cutoffs, meet the base rules only. Repeated rows are judged alike. Labels of ids that aren't in the table don't
+language, or of one without a safe set, meet the base rules only. Repeated rows are judged alike. Labels of ids that aren't in the table don't
 count; of contradicting labels of one id the larger counts. Extra columns are not carried along by `measure`.
 """
 
@@ -27,6 +29,8 @@ RISK, DELTA = 0.02, 0.05
 #: What the learnt rules measure, and the cutoffs tried for each (rejected: over it).
 RULES = ("symbol_ratio", "bang_ratio", "dup_line_ratio", "repeat_ratio")
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0)
+#: Shares of the other strata's good documents that a rule may reject, along the sequence of rule sets.
+SHARES = (0, 0.001, 0.002, 0.005, 0.01, 0.02)
 
 
 def _bind(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -107,25 +111,57 @@ def _upper(k: int, n: int, p: float) -> float:
     return math.exp(term) * total
 
 
-def choose(counts: dict[str, tuple[int, dict[str, list[int]]]], risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """counts: stratum → (good documents, rule → how many of them each cutoff rejects). Stratum → rule → strictest safe cutoff."""
-    tests = max(1, len(counts)) * len(RULES) * len(GRID)
+Counts = dict[str, tuple[int, dict[str, list[int]]]]
+
+
+def sequence(counts: Counts, stratum: str) -> list[tuple[int, ...]]:
+    """Rule sets in the order of their tests: for each rule an index of GRID (len(GRID): off). No count of the stratum itself enters."""
+    others = [c for g, c in counts.items() if g != stratum]
+    n = sum(c[0] for c in others)
+    at = [tuple(next((i for i in range(len(GRID)) if sum(c[1][r][i] for c in others) <= share * n), len(GRID)) for r in RULES) for share in SHARES]
+    now, sets = [len(GRID)] * len(RULES), []
+    for target in at + [tuple(max(0, i - k) for i in at[-1]) for k in range(1, len(GRID))]:
+        for goal in sorted(set(target)):  # the rules that harm least elsewhere first
+            for step in reversed(range(goal, len(GRID))):
+                now = [min(i, step) if t == goal else i for i, t in zip(now, target, strict=True)]
+                sets.append(tuple(now))
+    return list(dict.fromkeys(sets))
+
+
+def choose(counts: Counts, risk: float = RISK, delta: float = DELTA, joint: dict[str, list[int]] | None = None) -> dict[str, dict[str, float]]:
+    """counts: stratum → (good documents, rule → how many of them each cutoff rejects). joint: stratum → how many each set of its
+    sequence rejects; without it the sum over the rules, which is no less. Stratum → rule → cutoff."""
+    level = delta / max(1, len(counts))
     out: dict[str, dict[str, float]] = {}
     for stratum, (n, rejected) in counts.items():
-        for rule in RULES:
-            safe = [c for c, k in zip(GRID, rejected[rule], strict=True) if binomial_tail(k, n, risk / len(RULES)) <= delta / tests]
-            if safe:
-                out.setdefault(stratum, {})[rule] = min(safe)
+        for k, chosen in enumerate(sequence(counts, stratum)):
+            on = [(r, i) for r, i in zip(RULES, chosen, strict=True) if i < len(GRID)]
+            lost = joint[stratum][k] if joint else min(n, sum(rejected[r][i] for r, i in on))
+            if binomial_tail(lost, n, risk) > level:
+                break
+            out[stratum] = {r: GRID[i] for r, i in on}
     return out
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """measures: doc_id, lang, m. One row of counts a language comes to the driver, and only of languages with labels enough for any test."""
+    """measures: doc_id, lang, m. Two rows of counts a language come to the driver, and only of languages with labels enough for any test."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    least = math.log(len(RULES) * len(GRID) / delta) / -math.log1p(-risk / len(RULES))
-    sums = [F.sum(F.when(_ratio(F.col("m"), r) > c, 1).otherwise(0)).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
-    rows = measures.filter("lang is not null and doc_id is not null").join(good, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= least).collect()
-    return choose({r["lang"]: (r["n"], {rule: [r[f"{rule}_{i}"] for i in range(len(GRID))] for rule in RULES}) for r in rows}, risk, delta)
+    least = math.log(1 / delta) / -math.log1p(-risk)
+    ratios = stage(measures.filter("lang is not null and doc_id is not null").join(good, "doc_id").select("lang", *[_ratio(F.col("m"), r).alias(r) for r in RULES]), "good-ratios")
+    lost = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
+    sums = [lost(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
+    rows = ratios.groupBy("lang").agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= least).collect()
+    counts = {r["lang"]: (r["n"], {rule: [r[f"{rule}_{i}"] for i in range(len(GRID))] for rule in RULES}) for r in sorted(rows)}
+    if not counts:
+        return {}
+    # A set's cutoffs as an array of four a language and step; beyond any ratio where the rule is off.
+    steps = [(g, k, [GRID[i] if i < len(GRID) else float("inf") for i in x]) for g in counts for k, x in enumerate(sequence(counts, g))]
+    sets = F.broadcast(ratios.sparkSession.createDataFrame(steps, "lang string, step int, cut array<double>"))
+    over = [F.col(r) > F.col("cut")[i] for i, r in enumerate(RULES)]
+    joint: dict[str, list[int]] = {}
+    for r in ratios.join(sets, "lang").groupBy("lang", "step").agg(lost(over[0] | over[1] | over[2] | over[3]).alias("k")).orderBy("lang", "step").collect():
+        joint.setdefault(r["lang"], []).append(r["k"])
+    return choose(counts, risk, delta, joint)
 
 
 def kept(m: Column, lang: Column, cut: dict[str, dict[str, float]]) -> Column:
