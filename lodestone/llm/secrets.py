@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_sample, prepare
@@ -204,10 +204,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Formats:
 
     sample = hash_sample(docs, train_docs).select("text").mapInArrow(run, "label string, value string")
     labelled: dict[str, list[str]] = {}
-    for row in sample.distinct().orderBy("label", F.xxhash64("value"), "value").limit(TRAIN_VALUES * 8).collect():
-        values = labelled.setdefault(row.label, [])
-        if len(values) < TRAIN_VALUES:
-            values.append(row.value)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("value"), "value"))
+    for row in sample.distinct().withColumn("rank", rank).filter(F.col("rank") <= TRAIN_VALUES).orderBy("label", "rank").collect():
+        labelled.setdefault(row.label, []).append(row.value)
     return Formats(labelled)
 
 
