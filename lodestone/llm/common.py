@@ -72,15 +72,23 @@ def unpack(data: bytes | None, tool=zstandard.ZstdDecompressor()) -> str | None:
     return None if data is None else tool.decompress(data).decode("utf-8", "surrogatepass")
 
 
-class Capped(dict):
-    """A memo of bounded size; it starts anew when it is full."""
+class Memo(dict):
+    """A memo bounded by bytes. It has two generations: what was used since the last turn stays, the rest goes when half of the bound is full,
+    so frequent keys outlive rare ones. An entry weighs `each` bytes and, if sized, what its key (text) and its value (bytes) hold."""
 
-    def __init__(self, make, cap: int):
+    def __init__(self, make, bound: int, each: int = 300, sized: bool = True):
         super().__init__()
-        self.make, self.cap = make, cap
+        self.make, self.half, self.each, self.sized = make, bound // 2, each, sized
+        self.before: dict = {}
+        self.held = 0
 
     def __missing__(self, key):
-        if len(self) >= self.cap:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self.held += self.each + 4 * len(key) + len(value) if self.sized else self.each
+        if self.held > self.half:
+            self.before, self.held = self.copy(), 0
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, line_dedup, quality, queries, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
+from lodestone.llm import bpe, common, decontaminate, line_dedup, quality, queries, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
 
 DIR = "/root/testdata/sf0.001"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -231,8 +231,32 @@ def test_bpe(odd, documents):
             want.append((i, len(ids), struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False)))
         assert as_sorted((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe.encode_decode(df, path).collect()) == as_sorted(want)
     coder = bpe.encoder(path)
-    ids, decoded = coder.encode("Round trip, 2 times!")
-    assert coder.decode(ids) == decoded
+    rng = random.Random(9)
+    alphabet = "aAbBeEtTsS'  .,!?0123456789éÉßÿ×÷üñ«»’İıſǅµªº²½一好\u0301\u00a0\u2009\u200d😀<|endoftext|>#*%\t\n\r\x00\x7f\x85"
+    for _ in range(4000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))
+        want = library.encode(text, add_special_tokens=False).ids
+        ids = coder.encode(text)
+        assert ids == struct.pack(f"<{len(want)}I", *want), text
+        assert coder.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_long_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, coder, rng = Tokenizer.from_file(path), bpe.PrefixBpe(path), random.Random(10)
+    for text in ("x" * 20_000, "".join(rng.choice("abcdeé0.") for _ in range(30_000)), " ".join(rng.choice(("the", "schön", "end.")) for _ in range(50_000))):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text) == struct.pack(f"<{len(want)}I", *want)
+
+
+def test_memo_keeps_what_is_used():
+    made = []
+    memo = common.Memo(lambda k: made.append(k) or b"v", 4000, each=100)
+    for k in range(200):
+        assert memo["often"] == memo[str(k)] == b"v"
+    assert made.count("often") == 1 and len(memo) + len(memo.before) <= 80
 
 
 def test_token_counts(odd, documents):
