@@ -8,9 +8,13 @@ isn't shown safe ends the sequence and the set before it is taken (fixed-sequenc
 learnt rules together reject less than RISK of the good documents in every stratum. A stratum without a safe set has none; it takes
 ln(strata / DELTA) / -ln(1 - RISK) good documents to have one (217 with four strata).
 
+A trial of the tests is a distinct text among the good documents of a stratum: an id with several rows counts once, with the row of the least text
+hash, and ids with equal texts count once together, so copies can't pass for evidence.
+
 Words are runs of what isn't white space (space, tab to carriage return). Null texts have no words. Rows without
-language, or of one without a safe set, meet the base rules only. Repeated rows are judged alike. Labels of ids that aren't in the table don't
-count; of contradicting labels of one id the larger counts. Extra columns are not carried along by `measure`.
+language, or of one without a safe set, meet the base rules only. Repeated rows are judged alike, a ratio equal to its cutoff passes. Texts of any
+length are measured whole. Labels of ids that aren't in the table don't count, nor do null ids; of contradicting labels of one id the larger counts.
+Empty tables give no rows, empty labels no learnt rules. Extra columns are not carried along by `judge`; `keep_good` keeps all.
 """
 
 from __future__ import annotations
@@ -144,10 +148,14 @@ def choose(counts: Counts, risk: float = RISK, delta: float = DELTA, joint: dict
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """measures: doc_id, lang, m. Two rows of counts a language come to the driver, and only of languages with labels enough for any test."""
+    """measures: doc_id, lang, same (hash of the text), m. Two rows of counts a language come to the driver, and only of languages with labels enough for
+    any test."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
     least = math.log(1 / delta) / -math.log1p(-risk)
-    ratios = stage(measures.filter("lang is not null and doc_id is not null").join(good, "doc_id").select("lang", *[_ratio(F.col("m"), r).alias(r) for r in RULES]), "good-ratios")
+    # a row an id, then a row a text: partial minima, so an id or a text that fills the table meets in no task
+    known = measures.filter("lang is not null and doc_id is not null").select("doc_id", F.struct("same", "lang", *[_ratio(F.col("m"), r).alias(r) for r in RULES]).alias("t"))
+    trials = known.groupBy("doc_id").agg(F.min("t").alias("t")).join(good, "doc_id").select("t.*")
+    ratios = stage(trials.groupBy("lang", "same").agg(*[F.max(r).alias(r) for r in RULES]).drop("same"), "good-ratios")
     lost = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
     sums = [lost(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
     rows = ratios.groupBy("lang").agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= least).collect()
@@ -175,10 +183,14 @@ def kept(m: Column, lang: Column, cut: dict[str, dict[str, float]]) -> Column:
     return ~failed
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, m (what `measured` gives) of every row."""
+def _facts(docs: DataFrame) -> list[Column]:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), measured(F.col("text")).alias("m"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64("text").alias("same"), measured(F.col("text")).alias("m")]
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, same (hash of the text), m (what `measured` gives) of every row."""
+    return docs.select(*_facts(docs))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,7 +201,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. Cutoffs come from a first pass over all rows' measures."""
-    cut = cutoffs(stage(measure(docs), "measures"), labels)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    return docs.filter(_bind(measured(F.col("text")), lambda m: kept(m, lang, cut)))
+    """The rows of docs that the rules keep, with all their columns. Texts are measured once: the rows are written with their measures, from which
+    the cutoffs come and then the verdicts."""
+    facts = F.struct(*_facts(docs)).alias("facts")
+    rows = stage(docs.select(F.struct(*docs.columns).alias("row"), facts), "measured-rows")
+    cut = cutoffs(rows.select("facts.*"), labels)
+    return rows.filter(kept(F.col("facts.m"), F.col("facts.lang"), cut)).select("row.*")
