@@ -42,7 +42,29 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what `stage` wrote for these. Only for tables that nothing unwritten reads any more."""
+    for t in tables:
+        jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key with more than one of so many rows is joined by broadcast: there can't be more such keys than that.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with one row a key. unique's `count` says how many rows (of `total`) have the key. A key that holds many rows would meet in one
+    task of a shuffle; there are HOT_SHARE such keys at most, and these are broadcast."""
+    hot = F.broadcast(unique.filter(F.col(count) * HOT_SHARE > total).drop(count))
+    rest = unique.filter(F.col(count) * HOT_SHARE <= total).drop(count)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on))
 
 
 def doc_key() -> list[Column]:
