@@ -4,18 +4,21 @@ Fingerprint: 64 bits; a bit is set if it is set in over half of the XXH64 hashes
 text's word shingles, repeats included; A-Z are lower-cased first. Texts without words have
 fingerprint zero, which links like any other.
 
-Candidates: fingerprints within `max_bits` <= 2 differ in at most two of eight byte positions, so they share
-six positional bytes, and at least one of the six ways to take two of the four 16-bit blocks
-agrees: these four positional bytes are the key of a posting list. Pairs of a list are kept if their tally of shared
-positional bytes reaches six, then verified by their differing bits. Lists of over
-LIST_CAP distinct fingerprints are never paired: there each fingerprint emits itself and its 64
-one-bit changes, and all that meet in one value lie within two bits of each other, so a star to
-the least of them keeps every connection. Work is linear in the number of fingerprints.
+Index: fingerprints within `max_bits` <= 2 differ in at most `max_bits` of eight byte positions, so they share at least
+8 - `max_bits` positional bytes: the guaranteed minimum of matches. A posting is a combination of that many positional bytes, with the
+positions left open; two fingerprints meet in a list if and only if their tally of shared positional bytes reaches the minimum. Lists of one
+fingerprint go. Their members agree but for the open bytes, so a list can't grow beyond the values of these, however many documents there are.
+
+Verification without pairs: the open positions of all of a fingerprint's lists are united, and it emits itself and its one-bit changes there.
+All that meet in one value differ by two bits at most (one, if only the changes of a bit meet the fingerprint itself), and any two that do meet: a star to the least of
+them keeps every connection, and the links of the star are checked by their differing bits. Work is linear in the number of fingerprints,
+whatever their groups.
 
 Components are labelled by hooking to the least neighbouring label and pointer jumping.
 
 Null texts count as empty. Null ids take part; a component's id is its least id that isn't null. Rows
-with the same id stay separate rows. Extra columns are not carried along. Empty tables give no rows.
+with the same id stay separate rows. Texts of any length are taken whole, SLICE shingles at a time; a bit set in exactly half of the hashes is 0.
+Extra columns are not carried along. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, prepare, stage
+from .common import doc_key, forget, join_hot, prepare, stage
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
-#: A posting list of more distinct fingerprints is linked by one-bit neighbourhoods instead of pairs.
-LIST_CAP = 32
 #: Shingle hashes whose bits are counted at a time.
 SLICE = 65536
 
@@ -71,38 +72,38 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return rows.select("doc_id", *doc_key(), "text").mapInArrow(run, "doc_id long, k_id long, k_hash long, fp long")
 
 
-def _bits(a: Column, b: Column) -> Column:
+def _differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """Tally of positional bytes that the two share."""
-    x = a.bitwiseXOR(b)
-    return sum(F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8))
+def postings(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """fp, key (which positions, and their bytes), open (mask of the other bytes) for every combination of 8 - max_bits positions."""
+    rows = []
+    for c, free in enumerate(combinations(range(8), max_bits)):
+        key = F.lit(c).cast("long")
+        for p in range(8):
+            if p not in free:
+                key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
+        rows.append(F.struct(key.alias("key"), F.lit(sum(1 << p for p in free)).alias("open")))
+    return nodes.select("fp", F.explode(F.array(*rows)).alias("p")).select("fp", "p.*")
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_cap: int = LIST_CAP) -> DataFrame:
-    """nodes: distinct fp. Links (a, b), a < b, that connect what is connected within max_bits."""
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """nodes: distinct fp. Links (a, b), a < b, each within max_bits, that connect what is connected within max_bits."""
     if not 0 <= max_bits <= 2:
         raise ValueError("0 to 2 bits")
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)]
-    keys = [F.shiftleft(F.lit(c).cast("long"), 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for c, (i, j) in enumerate(combinations(range(4), 2))]
-    postings = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stage(postings.join(sizes, "key"), "postings")
-    short = shared.filter(F.col("n") <= list_cap)
-    a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (_shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits) & (_bits(F.col("a"), F.col("b")) <= max_bits)).select("a", "b").distinct()
-    long = shared.filter(F.col("n") > list_cap).select("fp").distinct()
-    if long.isEmpty():
-        return pairs
-    near = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    variants = long.select("fp", F.explode(F.concat(F.array("fp"), near) if max_bits == 2 else F.array("fp")).alias("v"))
-    hubs = variants.groupBy("v").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = variants.join(hubs, "v").filter("a < fp").select("a", F.col("fp").alias("b"))
+    if not max_bits:
+        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    lists = postings(nodes, max_bits).groupBy("key", "open").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    met = stage(lists.select("open", F.explode("fps").alias("fp")).groupBy("fp").agg(F.bit_or("open").alias("open")), "met")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("open"), F.shiftright(i, 3)).bitwiseAND(F.lit(1)) == 1)
+    changed = F.transform(bits, lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     if max_bits == 1:  # a link is a one-bit change itself
-        stars = long.select(F.col("fp").alias("a"), F.explode(near).alias("b")).join(long.withColumnRenamed("fp", "b"), "b", "left_semi").filter("a < b").select("a", "b")
-    return pairs.union(stars.select("a", "b")).distinct()
+        out = met.select(F.col("fp").alias("a"), F.explode(changed).alias("b")).join(met.select(F.col("fp").alias("b")), "b", "left_semi").filter("a < b")
+    else:
+        values = met.select("fp", F.explode(F.concat(F.array("fp"), changed)).alias("v"))
+        out = values.groupBy("v").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
+    return out.filter(_differing(F.col("a"), F.col("b")) <= max_bits).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -112,19 +113,22 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
         hooked = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(hooked, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = stage(new, "labels")
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stage(new.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        near = stage(labels.join(hooked, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        jump = near.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = stage(near.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        done = new.filter("label <> old").isEmpty()
+        forget(labels, near)
         labels = new.select("node", "label")
-        if new.filter("label <> old").isEmpty():
+        labels.staged_at = new.staged_at
+        if done:
+            forget(both)
             return labels
 
 
 def _labelled(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints of all rows, (fp, least, label) of each distinct fingerprint)."""
+    """(fingerprints of all rows, (fp, least, first, copies, label) of each distinct fingerprint)."""
     fps = stage(fingerprints(docs, words), "fingerprints")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("k_id", "k_hash")).alias("first")), "nodes")
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("k_id", "k_hash")).alias("first"), F.count("*").alias("copies")), "nodes")
     labels = components(links(nodes.select("fp"), max_bits))
     return fps, nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
@@ -132,9 +136,9 @@ def _labelled(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, Da
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links) for every row."""
     fps, labelled = _labelled(docs, words, max_bits)
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = labelled.join(ids, "label").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = stage(join_hot(labelled, ids, ["label"], "n", labelled.count()).select("fp", "component_id", "copies"), "components")
+    return join_hot(fps, of, ["fp"], "copies", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
