@@ -4,11 +4,12 @@ A text is the set of its shingles of SHINGLE_WORDS words (words as for the finge
 shingle). Two texts are near copies if their sets have a Jaccard similarity of at least SIMILAR.
 
 Candidates: under any one order of all shingles, two such sets share one among the first n - ceil(0.8 n) + 1 of each. Shingles are ordered by
-hash, those in over LIST_CAP sets' prefixes last, so that common passages make no long lists unless they are most of a text.
-Sets that share a shingle of their prefixes and whose sizes allow it are verified by their whole sets. Lists
+hash, those in over LIST_CAP sets' prefixes last, so that common passages make no long lists unless they are most of a text; which these are stays a
+distributed table. Sets that share a shingle of their prefixes and whose sizes allow it are verified by their whole sets. Lists
 that are long all the same are linked to their least set first; then only sets outside a list's largest component are paired. No candidate is left out.
 
-Null texts count as empty, and texts without words are copies of each other. Sets are compared by 64-bit hashes of their shingles.
+Null texts count as empty, and texts without words are copies of each other. Sets are compared by 64-bit hashes of their shingles. Repeated rows are one
+set; texts of any length are taken whole. A similarity of exactly 0.8 counts. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -52,18 +53,15 @@ def prefix_length(n: int) -> int:
     return n - -(-n * up // down) + 1 if n else 0
 
 
-def _sets(docs: DataFrame, last: list[int] | None = None, whole: bool = False, words: int = SHINGLE_WORDS) -> DataFrame:
-    """k_id, k_hash, node (hash of the set), n (its size), part: its prefix, shingles of `last` at the end of the order; or the whole set."""
+def _sets(docs: DataFrame, whole: bool = False, words: int = SHINGLE_WORDS) -> DataFrame:
+    """k_id, k_hash, node (hash of the set), n (its size), part: its prefix in the order of hashes, or the whole set."""
     prepare(docs.sparkSession)
-    heavy = np.array(sorted(last or []), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, words) for t in b.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-            parts = found
-            if not whole:
-                parts = [s[np.argsort(np.isin(s, heavy), kind="stable")[: prefix_length(len(s))]] if len(heavy) else s[: prefix_length(len(s))] for s in found]
+            parts = found if whole else [s[: prefix_length(len(s))] for s in found]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             values = pa.array(np.concatenate([np.empty(0, np.int64), *parts]))
             part = pa.ListArray.from_arrays(pa.array(offsets), values)
@@ -106,16 +104,17 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP
     nodes = stage(rows.groupBy("node").agg(F.min(F.struct("k_id", "k_hash")).alias("f"), F.first("n").alias("n"), F.first("part").alias("part")).select("node", "n", "f.*", "part"), "shingle-sets")
     firsts = nodes.select("node", "k_id", "k_hash")
     postings = nodes.select("node", "n", F.explode("part").alias("key"))
-    common = [r.key for r in postings.groupBy("key").count().filter(F.col("count") > list_cap).select("key").collect()]
-    if common:
-        session = docs.sparkSession
-        at_end = F.broadcast(session.createDataFrame([(k,) for k in common], "key long"))
-        moved = stage(postings.join(at_end, "key", "left_semi").select("node").distinct(), "moved")
-        chosen = firsts.join(moved, "node", "left_semi").select("k_id", "k_hash")
-        texts = docs.select("doc_id", "text", *doc_key()).join(chosen, ["k_id", "k_hash"], "left_semi").select("doc_id", "text")
-        again = _sets(texts, last=common, words=words).dropDuplicates(["node"]).select("node", "n", F.explode("part").alias("key"))
-        postings = postings.join(moved, "node", "left_anti").select("node", "n", "key").union(again)
-    postings = stage(postings, "prefix-postings") if common else postings
+    common = stage(postings.groupBy("key").count().filter(F.col("count") > list_cap).select("key"), "common-shingles")
+    moved = stage(postings.join(common, "key", "left_semi").select("node").distinct(), "moved")
+    # the sets that have some in their prefixes, whole: common shingles go last, and the prefixes are taken anew
+    chosen = firsts.join(moved, "node", "left_semi").select("k_id", "k_hash")
+    texts = docs.select("doc_id", "text", *doc_key()).join(chosen, ["k_id", "k_hash"], "left_semi").select("doc_id", "text")
+    single = _sets(texts, whole=True, words=words).select("node", "n", F.explode("part").alias("key"))
+    flagged = single.join(common.withColumn("late", F.lit(1)), "key", "left").select("node", "n", F.struct(F.coalesce("late", F.lit(0)).alias("late"), "key").alias("s"))
+    up, down = SIMILAR
+    length = F.expr(f"cast(n - (n * {up} + {down - 1}) div {down} + 1 as int)")
+    again = flagged.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("s")).alias("s")).select("node", "n", F.explode(F.slice("s", F.lit(1), length)["key"]).alias("key"))
+    postings = stage(postings.join(moved, "node", "left_anti").select("node", "n", "key").union(again), "prefix-postings")
     sizes = postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stage(postings.join(sizes, "key"), "shared-shingles")
     x, y = (shared.filter(F.col("m") <= list_cap).select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
