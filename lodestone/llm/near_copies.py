@@ -5,7 +5,7 @@ shingle). Two texts are near copies if their sets have a Jaccard similarity of a
 
 Candidates: under any one order of all shingles, two such sets share one among the first n - ceil(0.8 n) + 1 of each. Shingles are ordered by
 hash, those in over LIST_CAP sets' prefixes last, so that common passages make no long lists unless they are most of a text; which these are stays a
-distributed table. Sets that share a shingle of their prefixes and whose sizes allow it are verified by their whole sets. Lists
+distributed table. Sets that share a shingle of their prefixes, at places and with sizes that leave room for enough others after it, are verified by their whole sets. Lists
 that are long all the same are linked to their least set first; then only sets outside a list's largest component are paired. No candidate is left out.
 
 Null texts count as empty, and texts without words are copies of each other. Sets are compared by 64-bit hashes of their shingles. Repeated rows are one
@@ -71,14 +71,17 @@ def _sets(docs: DataFrame, whole: bool = False, words: int = SHINGLE_WORDS) -> D
     return rows.mapInArrow(run, "k_id long, k_hash long, node long, n long, part array<long>")
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
+def _possible() -> Column:
+    """Of two postings x, y: may the shingle be the first that a similar pair shares? The sets share no more than it and what comes after it."""
     up, down = SIMILAR
-    return down * F.least(a, b) >= up * F.greatest(a, b)
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1
+    sizes = down * F.least("nx", "ny") >= up * F.greatest("nx", "ny")
+    return (F.col("x") != F.col("y")) & sizes & ((up + down) * rest >= up * (F.col("nx") + F.col("ny")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct candidates (a, b), a < b, of columns x, y, nx, ny."""
-    return pairs.filter((F.col("x") != F.col("y")) & _sizes_allow(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Distinct (a, b), a < b, of columns x, y."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -103,7 +106,7 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP
     rows = stage(_sets(docs, words=words), "shingle-prefixes")
     nodes = stage(rows.groupBy("node").agg(F.min(F.struct("k_id", "k_hash")).alias("f"), F.first("n").alias("n"), F.first("part").alias("part")).select("node", "n", "f.*", "part"), "shingle-sets")
     firsts = nodes.select("node", "k_id", "k_hash")
-    postings = nodes.select("node", "n", F.explode("part").alias("key"))
+    postings = nodes.select("node", "n", F.posexplode("part").alias("place", "key"))
     common = stage(postings.groupBy("key").count().filter(F.col("count") > list_cap).select("key"), "common-shingles")
     moved = stage(postings.join(common, "key", "left_semi").select("node").distinct(), "moved")
     # the sets that have some in their prefixes, whole: common shingles go last, and the prefixes are taken anew
@@ -113,21 +116,24 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP
     flagged = single.join(common.withColumn("late", F.lit(1)), "key", "left").select("node", "n", F.struct(F.coalesce("late", F.lit(0)).alias("late"), "key").alias("s"))
     up, down = SIMILAR
     length = F.expr(f"cast(n - (n * {up} + {down - 1}) div {down} + 1 as int)")
-    again = flagged.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("s")).alias("s")).select("node", "n", F.explode(F.slice("s", F.lit(1), length)["key"]).alias("key"))
-    postings = stage(postings.join(moved, "node", "left_anti").select("node", "n", "key").union(again), "prefix-postings")
+    again = flagged.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("s")).alias("s")).select("node", "n", F.posexplode(F.slice("s", F.lit(1), length)["key"]).alias("place", "key"))
+    postings = stage(postings.join(moved, "node", "left_anti").select("node", "n", "place", "key").union(again), "prefix-postings")
     sizes = postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stage(postings.join(sizes, "key"), "shared-shingles")
-    x, y = (shared.filter(F.col("m") <= list_cap).select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
-    edges = _verified(docs, firsts, _ordered(x.join(y, "key").filter("x < y")), words)
-    long = shared.filter(F.col("m") > list_cap).select("key", F.col("node").alias("x"), F.col("n").alias("nx"))
+    named = lambda t, c: t.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), (F.col("place") + 1).alias(f"p{c}"))
+    short, long = shared.filter(F.col("m") <= list_cap), shared.filter(F.col("m") > list_cap)
+    x, y = named(short, "x"), named(short, "y")
+    edges = _verified(docs, firsts, _ordered(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & _possible())), words)
     if not long.isEmpty():
-        hubs = long.groupBy("key").agg(F.min(F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"))).alias("hub")).select("key", "hub.*")
-        edges = edges.union(_verified(docs, firsts, _ordered(long.join(hubs, "key")), words))
-        in_lists = stage(long.join(_labels(firsts, edges).withColumnRenamed("node", "x"), "x"), "long-lists")
+        # to the set of a list that has most after the shingle: what is mostly common shingles is similar to it
+        hubs = named(long, "y").groupBy("key").agg(F.min(F.struct((F.col("py") / F.col("ny")).alias("share"), "y", "ny", "py")).alias("hub")).select("key", "hub.*")
+        edges = edges.union(_verified(docs, firsts, _ordered(named(long, "x").join(hubs, "key").filter(_possible())), words))
+        in_lists = stage(named(long, "x").join(_labels(firsts, edges).withColumnRenamed("node", "x"), "x"), "long-lists")
         shares = in_lists.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", F.col("most.label").alias("main"))
         mixed = in_lists.join(shares, "key")
-        other = mixed.filter("label <> main").select("key", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("label").alias("label_y"))
-        edges = edges.union(_verified(docs, firsts, _ordered(mixed.join(other, "key").filter("label <> label_y")), words))
+        other = mixed.filter("label <> main").select(F.col("key").alias("key_y"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("label").alias("label_y"))
+        pairs = mixed.join(other, (F.col("key") == F.col("key_y")) & (F.col("label") != F.col("label_y")) & _possible())
+        edges = edges.union(_verified(docs, firsts, _ordered(pairs), words))
     return rows.select("k_id", "k_hash", "node"), firsts.join(_labels(firsts, edges), "node")
 
 
