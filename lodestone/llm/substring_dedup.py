@@ -3,22 +3,24 @@
 A window is WINDOW consecutive words of one document; a word goes if a window that covers it starts anywhere
 else, too. Suffixes enter the tree through anchors: in each window the leftmost least hash of its GRAM-word
 sequences. Equal windows have equal anchors at the same offset, so only suffixes that share their
-anchor with another one can have a deep node above them. Suffixes are split by variable-length
-prefixes: the anchor's words where at most GROUP_CAP suffixes start with them, all WINDOW words elsewhere.
-  * A group by anchor is small. Its subtree is built by naming: classes of substrings of 1, 2, 4, ... words up to
-    WINDOW words (Karp, Miller and Rosenberg); classes of depth WINDOW with two leaves are the deep internal nodes.
-  * A prefix of WINDOW words is as deep as the tree has to go: groups need only be counted, which is done by
-    partial sums, and no task holds such a group.
-Runs of deep leaves in a document are its maximal repeats, the spans to remove.
-
-Null texts have no words. Rows that repeat both id and text count as occurrences of their own. Extra columns
-are not carried along. Empty tables give no rows.
+anchor's words (a prefix that all of them have in the tree) with another one can have a deep node above them. The suffixes of an anchor are the
+starts of its run of windows, its context.
+
+Groups by anchor are the partitions. One that is larger than GROUP_CAP contexts is made memory-sized: equal contexts are counted and become
+one, and the others are dealt out by their whole prefix (the hash of the context), so that each part has GROUP_CAP contexts or so. In every part a subtree is
+built: its suffixes are sorted by their first WINDOW words with prefix doubling, and runs of equal ones are the nodes of that depth, with the suffixes as
+their leaves. A tree need not be deeper. In a group of one part, a node with two leaves is a deep internal node. In a group of several parts, each
+hands on its nodes (a hash of the path and the number of leaves), and nodes with the same path are one node of the whole tree:
+their leaves are summed. Runs of deep leaves in a document are its maximal repeats, the spans to remove.
+
+Null texts have no words. Rows that repeat both id and text count as occurrences of their own. Texts of any length are taken whole. Where several
+sequences of a window have the least hash, the leftmost is the anchor. Extra columns are not carried along. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, pack, prepare, stage, unpack
+from .common import doc_key, join_hot, pack, prepare, stage, unpack
 
 WINDOW, GRAM = 35, 8
-#: Suffixes that one subtree may hold; longer groups are split by longer prefixes.
+#: Contexts that one subtree holds, about; larger groups are built in parts.
 GROUP_CAP = 1000
 #: Rows of one subtree build; at least one group.
 BUILD_ROWS = 4000
@@ -77,26 +79,36 @@ def anchors_of(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
     return g[least[lo]], lo, hi
 
 
-def deep_starts(contexts: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """Of each context (the words of a run of windows): which of its windows have an equal one in any context here.
-    Names of substrings by doubling; names of depth `window` are the nodes."""
-    sizes = np.array([len(c) for c in contexts])
-    words = np.concatenate(contexts)
-    _, name = np.unique(words, return_inverse=True)
-    depth = 1
-    while depth < window:
-        step = min(depth, window - depth)
-        pair = name[:-step].astype(np.int64) * (int(name.max()) + 1) + name[step:]
-        _, name = np.unique(pair, return_inverse=True)
-        depth += step
-    offsets = np.cumsum(sizes) - sizes
-    ok = np.zeros(len(words), bool)
-    for o, s in zip(offsets.tolist(), sizes.tolist(), strict=True):
-        ok[o : o + s - window + 1] = True
-    ok = ok[: len(name)]
-    leaves = np.bincount(name[ok], minlength=int(name.max()) + 1)
-    deep = (leaves[name] > 1) & ok
-    return [deep[o : o + s - window + 1] for o, s in zip(offsets.tolist(), sizes.tolist(), strict=True)]
+class Subtree:
+    """The nodes of depth `window` over the suffixes of contexts (the words of a run of windows each), in the order of their paths.
+    leaf_context, leaf_offset: of each leaf, node by node; first: where the leaves of each node begin. With `least` 2 nodes of one leaf are left out."""
+
+    def __init__(self, contexts: list[np.ndarray], window: int, least: int = 1):
+        sizes = np.array([len(c) for c in contexts])
+        words = np.concatenate(contexts)
+        _, rank = np.unique(words, return_inverse=True)
+        depth = 1
+        while depth < window:  # ranks by the first `depth` words give ranks by twice as many
+            step = min(depth, window - depth)
+            pair = rank[:-step].astype(np.int64) * (int(rank.max()) + 1) + rank[step:]
+            _, rank = np.unique(pair, return_inverse=True)
+            depth += step
+        ends = np.cumsum(sizes)
+        place = np.arange(len(rank))
+        context = np.repeat(np.arange(len(sizes)), sizes)[: len(rank)]
+        inside = place <= ends[context] - window
+        if least > 1:
+            inside &= np.bincount(rank[inside], minlength=int(rank.max()) + 1)[rank] >= least
+        at = place[inside]
+        at = at[np.argsort(rank[at], kind="stable")]
+        self.leaf_context, self.leaf_offset = context[at], at - (ends - sizes)[context[at]]
+        node = rank[at]
+        self.first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(at) else np.zeros(0, np.int64)
+        self.words, self.place = words, at
+
+    def paths(self, window: int) -> np.ndarray:
+        """A hash of the path of each node."""
+        return _sequence(self.words, window)[self.place[self.first]]
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -130,7 +142,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     anchors = stage(_anchors(docs, window, gram), "anchors")
     groups = stage(anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "groups")  # as a table, so that a hot group's join can be split
-    active = anchors.join(groups, "g").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "g", (F.col("n") > group_cap).alias("split")))).alias("found"))
+    active = anchors.join(groups, "g").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "g", F.ceil(F.col("n") / group_cap).alias("parts")))).alias("found"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,74 +153,96 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row an anchor: the words of its windows, and a hash of these."""
         for b in batches:
-            rows, key, same, first, last, words, split = [], [], [], [], [], [], []
+            rows, key, same, first, last, words, parts = [], [], [], [], [], [], []
             for k, (data, found) in enumerate(zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True)):
                 h = _hashes(_words(unpack(data)))
                 for x in found:
                     part = h[x["lo"] : x["hi"] + window].tobytes()
-                    rows.append(k), key.append(x["g"]), first.append(x["lo"]), last.append(x["hi"]), words.append(part), split.append(x["split"]), same.append(xxhash.xxh3_64_intdigest(part))
+                    rows.append(k), key.append(x["g"]), first.append(x["lo"]), last.append(x["hi"]), words.append(part), parts.append(x["parts"]), same.append(xxhash.xxh3_64_intdigest(part))
             at = pa.array(rows, pa.int64())
             yield pa.record_batch(
-                [b.column("k_id").take(at), b.column("k_hash").take(at), pa.array(key, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(words, pa.binary()), pa.array(split, pa.bool_())],
-                ["k_id", "k_hash", "key", "same", "lo", "hi", "words", "split"],
+                [b.column("k_id").take(at), b.column("k_hash").take(at), pa.array(key, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(words, pa.binary()), pa.array(parts, pa.int64())],
+                ["k_id", "k_hash", "key", "same", "lo", "hi", "words", "parts"],
             )
 
     fields = "k_id long, k_hash long, lo int, hi int"
-    leaves = stage(texts.mapInArrow(suffixes, "k_id long, k_hash long, key long, same long, lo int, hi int, words binary, split boolean"), "suffixes")
+    leaves = stage(texts.mapInArrow(suffixes, "k_id long, k_hash long, key long, same long, lo int, hi int, words binary, parts long"), "suffixes")
+
+    def spans(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Runs of deep leaves of whole groups."""
+        lo, out = t.column("lo").to_numpy(), []
+        tree = Subtree([np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()], window, 2)
+        order = np.lexsort((tree.leaf_offset, tree.leaf_context))
+        context, offset = tree.leaf_context[order], tree.leaf_offset[order]
+        cut = np.flatnonzero((np.diff(context) != 0) | (np.diff(offset) > 1)) if len(order) else np.zeros(0, np.int64)
+        if len(order):
+            a, z = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(order) - 1]])
+            at = pa.array(context[a])
+            out = [t.column("k_id").take(at).combine_chunks(), t.column("k_hash").take(at).combine_chunks(), pa.array((offset[a] + lo[context[a]]).astype(np.int32)), pa.array((offset[z] + lo[context[z]]).astype(np.int32))]
+            yield pa.record_batch(out, ["k_id", "k_hash", "lo", "hi"])
+
+    small = leaves.filter("parts = 1").select("k_id", "k_hash", "key", "lo", "hi", "words")
+    tree = small.repartition("key").sortWithinPartitions("key").mapInArrow(_by_group(spans), fields)
+    return tree.union(_in_parts(leaves.filter("parts > 1"), window)), texts
 
-    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a group is built when its last row is there."""
-        held: list[pa.RecordBatch] = []
 
-        def build(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            lo = t.column("lo").to_numpy()
-            out: list[tuple[int, int, int]] = []
-            for k, deep in enumerate(deep_starts([np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()], window)):
-                out += [(k, a + int(lo[k]), z + int(lo[k])) for a, z in _runs(np.flatnonzero(deep))]
-            if out:
-                at = pa.array([o[0] for o in out], pa.int64())
-                yield pa.record_batch([t.column("k_id").take(at).combine_chunks(), t.column("k_hash").take(at).combine_chunks(), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], ["k_id", "k_hash", "lo", "hi"])
+def _by_group(build: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by key; build gets whole groups, BUILD_ROWS or more rows of them but at the end."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= BUILD_ROWS:
+            rows += b.num_rows
+            if rows >= BUILD_ROWS:
                 t = pa.Table.from_batches(held)
                 key = t.column("key").to_numpy()
                 whole = int(np.searchsorted(key, key[-1]))  # rows before the last group
                 if whole:
                     yield from build(t.slice(0, whole))
                 held = t.slice(whole).to_batches()
-        if held and sum(x.num_rows for x in held):
+                rows -= whole
+        if rows:
             yield from build(pa.Table.from_batches(held))
 
-    small = leaves.filter("not split").select("k_id", "k_hash", "key", "lo", "hi", "words")
-    tree = small.repartition("key").sortWithinPartitions("key").mapInArrow(subtrees, fields)
-    return tree.union(_split_groups(leaves.filter("split"), window)), texts
+    return run
 
 
-def _split_groups(leaves: DataFrame, window: int) -> DataFrame:
-    """Groups over the cap, by their prefixes of `window` words. Suffixes with the same words around are counted first, so the copies of
-    a passage make one row; prefixes are counted with these numbers, and no group of either kind meets in a task."""
-    contexts = leaves.groupBy("same").agg(F.count("*").alias("n"), F.any_value("words").alias("words"))
+def _in_parts(leaves: DataFrame, window: int) -> DataFrame:
+    """Groups of several parts. Suffixes with the same words around are counted first, by partial sums, so the copies of a passage make one context;
+    every part of a group hands on a row a node, and rows of the same path are summed."""
+    contexts = leaves.groupBy("same").agg(F.count("*").alias("n"), F.min(F.struct("key", "parts")).alias("of"), F.any_value("words").alias("words"))
+    dealt = contexts.select("same", "n", "words", F.xxhash64("of.key", F.pmod(F.xxhash64("same"), F.col("of.parts"))).alias("key"))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            full = [_sequence(np.frombuffer(w, np.uint64), window).view(np.int64) for w in b.column("words").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(full)), [len(x) for x in full]))
-            off = np.concatenate([np.arange(len(x), dtype=np.int32) for x in full] or [np.zeros(0, np.int32)])
-            yield pa.record_batch([b.column("same").take(at), b.column("n").take(at), pa.array(off), pa.array(np.concatenate(full or [np.zeros(0, np.int64)]))], ["same", "n", "off", "prefix"])
+    def nodes(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        same, n = t.column("same").to_numpy(), t.column("n").to_numpy()
+        tree = Subtree([np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()], window)
+        if len(tree.first):
+            leaf_n = n[tree.leaf_context]
+            ends = pa.array(np.concatenate([tree.first, [len(leaf_n)]]).astype(np.int32))
+            leaf = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))
+            yield pa.record_batch(
+                [pa.array(tree.paths(window).view(np.int64)), pa.array(np.add.reduceat(leaf_n, tree.first)), leaf(same[tree.leaf_context]), leaf(leaf_n), leaf(tree.leaf_offset.astype(np.int32))],
+                ["path", "leaves", "same", "n", "offset"],
+            )
 
-    starts = stage(contexts.mapInArrow(prefixes, "same long, n long, off int, prefix long"), "prefixes")
-    deep = starts.groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1").select("prefix")
-    found = starts.join(deep, "prefix").groupBy("same").agg(F.sort_array(F.collect_set("off")).alias("offs"))
+    found = stage(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_by_group(nodes), "path long, leaves long, same array<long>, n array<long>, offset array<int>"), "nodes")
+    deep = found.groupBy("path").agg(F.sum("leaves").alias("leaves")).filter("leaves > 1").select("path")
+    leaf = found.join(deep, "path", "left_semi").select(F.explode(F.arrays_zip("same", "n", "offset")).alias("leaf")).select("leaf.*")
+    deep_leaves = leaf.groupBy("same").agg(F.max("n").alias("n"), F.collect_set("offset").alias("offsets"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(k, a, z) for k, offs in enumerate(b.column("offs").to_pylist()) for a, z in _runs(np.array(offs))]
-            yield pa.record_batch([b.column("same").take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())], ["same", "a", "z"])
-
-    spans = found.mapInArrow(runs, "same long, a int, z int")
-    return leaves.select("k_id", "k_hash", "same", "lo").join(spans, "same").select("k_id", "k_hash", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z")).alias("hi"))
+            got = [_runs(np.sort(np.array(x))) for x in b.column("offsets").to_pylist()]
+            ends = pa.array(np.cumsum([0] + [len(g) for g in got]).astype(np.int32))
+            each = lambda i: pa.ListArray.from_arrays(ends, pa.array([r[i] for g in got for r in g], pa.int32()))  # noqa: B023, E731
+            yield pa.record_batch([b.column("same"), b.column("n"), each(0), each(1)], ["same", "n", "a", "z"])
+
+    spans = stage(deep_leaves.mapInArrow(runs, "same long, n long, a array<int>, z array<int>"), "context-spans")
+    back = join_hot(leaves.select("k_id", "k_hash", "same", "lo"), spans, ["same"], "n", leaves.count())
+    each = back.select("k_id", "k_hash", "lo", F.explode(F.arrays_zip("a", "z")).alias("s"))
+    return each.select("k_id", "k_hash", (F.col("lo") + F.col("s.a")).alias("lo"), (F.col("lo") + F.col("s.z")).alias("hi"))
 
 
 def _sha(words: list[bytes]) -> str:
