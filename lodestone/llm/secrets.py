@@ -1,28 +1,31 @@
 """Secret scan: base patterns, and formats inferred from labelled credentials as probabilistic automata.
 
 Base spans (leftmost, not overlapping, by kind; code points, end exclusive) are those of three patterns with least
-lengths. Values that they find in a bounded sample of documents are labelled credentials, and the other
-long tokens there ordinary ones. For each label a prefix tree of the values (over classes of characters) is
+lengths. The values that they find anywhere in the table are labelled credentials; other tokens of a bounded sample of documents are ordinary
+ones. For each label a prefix tree of at most TRAIN_VALUES values (over classes of characters, the first TRAIN_LENGTH of each) is
 generalised by merging states whose endings and symbols are statistically compatible (Hoeffding bounds), recursively, which gives a
-probabilistic automaton. Every long token of every text that no base span touches is then scored: log-likelihood a
-character under the best credential automaton, less that under the automaton of ordinary tokens. Tokens over the threshold, which
-no more than MISS of the labelled ordinary tokens reach, are added as spans of kind `format`. Base spans always stay.
+probabilistic automaton. Every token of CANDIDATE_LEAST characters or more that no base span touches is then scored, over all of its
+characters: log-likelihood a character under the best credential automaton, less that under the automaton of ordinary tokens. A token over the threshold, which
+no more than MISS of the reliably ordinary tokens reach (spies tell which these are), is verified by its length (none of a length that no credential of that automaton has, within LENGTH_SLACK) and
+added as a span of kind `format`. Base spans always stay.
 
-Null texts are empty. Extra columns are not carried along. Empty tables give no rows; without labelled credentials nothing is added.
+Null texts are empty. Texts and tokens are scanned whole, whatever their length. Rows that repeat are scanned alike and teach once. Of equal margins
+both are over the threshold or neither is. Extra columns are not carried along. Empty tables give no rows; without labelled credentials nothing is added.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, prepare
+from .common import Memo, forget, hash_sample, prepare, stage
 
 # The base patterns, their kinds in order and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,13 +34,16 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "format")
 
-#: What the automata score: long tokens with a letter and a digit.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])", re.S)
-#: Documents whose credentials and tokens train the automata; values kept of each label; symbols looked at.
-TRAIN_DOCS, TRAIN_VALUES, DEPTH = 5000, 2000, 64
-#: Confidence of the merge test, floor of a probability, share of ordinary tokens that may pass, least margin a character.
-ALPHA, FLOOR, MISS, MARGIN = 0.01, 1e-4, 0.001, 0.5
+#: What the automata score.
+CANDIDATE_LEAST = 12
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Documents whose other tokens are the ordinary ones; values that teach an automaton, and their characters.
+ORDINARY_DOCS, TRAIN_VALUES, TRAIN_LENGTH = 5000, 2000, 256
+#: Confidence of the merge test, floor of a probability, share of ordinary tokens that may pass, least margin a character, share by which
+#: a length may lie outside those of the labelled credentials.
+ALPHA, FLOOR, MISS, MARGIN, LENGTH_SLACK = 0.01, 1e-4, 0.001, 0.5, 0.1
+#: What a worker keeps of tokens that it has judged.
+MEMO_BYTES = 40 << 20
 _KEYS = ("passw", "secret", "token", "api")
 
 
@@ -53,19 +59,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _symbols(value: str) -> tuple[str, float]:
-    """Classes of the first characters, and the log-probability of the characters in their classes."""
-    out, inside = [], 0.0
-    for c in value[:DEPTH]:
-        if "0" <= c <= "9":
-            out.append("0"), (inside := inside - math.log(10))
-        elif "a" <= c <= "f" or "A" <= c <= "F":
-            out.append("a" if c > "Z" else "A"), (inside := inside - math.log(6))
-        elif "g" <= c <= "z" or "G" <= c <= "Z":
-            out.append("g" if c > "Z" else "G"), (inside := inside - math.log(20))
-        else:
-            out.append(c)
-    return "".join(out), inside
+#: Characters by class: digits, letters that are hexadecimal digits, other letters; signs stand for themselves.
+_CLASSES = str.maketrans({c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"})
+
+
+def _symbols(value: str) -> str:
+    """Classes of the characters."""
+    return value.translate(_CLASSES)
 
 
 class Automaton:
@@ -73,6 +73,7 @@ class Automaton:
 
     def __init__(self, values: list[str], alpha: float = ALPHA):
         self.counts, self.edges = [[0, 0]], [{}]
+        self.lengths = (min(map(len, values), default=0), max(map(len, values), default=0))
         for v in sorted(values):
             s = 0
             self.counts[0][0] += 1
@@ -143,18 +144,24 @@ class Automaton:
                 self._fold(into, t)
         self.states = len(fixed)
 
-    def score(self, symbols: str, ended: bool) -> float:
-        s, total = 0, 0.0
         low = math.log(FLOOR)
-        for c in symbols:
-            e = self.edges[s].get(c) if s >= 0 else None
-            if e is None:
-                total, s = total + low, -1
-            else:
-                total, s = total + math.log(max(FLOOR, e[1] / self.counts[s][0])), e[0]
-        if ended:
-            total += math.log(max(FLOOR, self.counts[s][1] / self.counts[s][0])) if s >= 0 else low
-        return total
+        self.steps = [{c: (t, max(low, math.log(n / self.counts[i][0]))) for c, (t, n) in self.edges[i].items()} if i in fixed else {} for i in range(len(self.counts))]
+        self.ends = [max(low, math.log(e / n)) if e and n else low for n, e in self.counts]
+
+    def score(self, symbols: str) -> float:
+        """Log-likelihood of the whole value, its end included."""
+        state, total, low = 0, 0.0, math.log(FLOOR)
+        for k, c in enumerate(symbols):
+            step = self.steps[state].get(c)
+            if step is None:  # nothing is known beyond
+                return total + low * (len(symbols) - k + 1)
+            state, p = step
+            total += p
+        return total + self.ends[state]
+
+    def plausible(self, value: str) -> bool:
+        least, most = self.lengths
+        return least * (1 - LENGTH_SLACK) <= len(value) <= most * (1 + LENGTH_SLACK) or most >= TRAIN_LENGTH and len(value) >= least
 
 
 class Formats:
@@ -162,74 +169,100 @@ class Formats:
 
     def __init__(self, labelled: dict[str, list[str]]):
         ordinary = sorted(labelled.get("ordinary", []))
-        self.good = [Automaton([_symbols(v)[0] for v in labelled[k]]) for k in KINDS[:3] if labelled.get(k)]
-        self.plain = Automaton([_symbols(v)[0] for v in ordinary]) if ordinary else None
-        self.threshold = MARGIN
-        if self.good and ordinary:
-            ranked = sorted(map(self.margin, ordinary), reverse=True)
+        train = lambda values: Automaton([_symbols(v[:TRAIN_LENGTH]) for v in values])
+        self.good = [train(labelled[k]) for k in KINDS[:3] if labelled.get(k)]
+        self.plain, self.threshold = None, MARGIN
+        if not self.good or not ordinary:
+            return
+        # Credentials that no label names may be among the ordinary tokens. Labelled ones are put among them as spies; what looks like a spy to
+        # automata trained so isn't counted as ordinary.
+        known = sorted({v for k in KINDS[:3] for v in labelled.get(k, [])})
+        spies = known[:: max(1, len(known) // max(1, len(ordinary) // 5))]
+        self.plain = train(ordinary + spies)
+        cut = min(-MARGIN, sorted(map(self.margin, spies))[len(spies) // 20])
+        reliable = [v for v in ordinary if self.margin(v) < cut]
+        self.plain = train(reliable) if reliable else None
+        if reliable:
+            ranked = sorted(map(self.margin, reliable), reverse=True)
             self.threshold = max(MARGIN, math.nextafter(ranked[int(MISS * len(ranked))], math.inf))
 
     def margin(self, value: str) -> float:
-        """Log-likelihood ratio a character."""
-        if not self.good:
-            return float("-inf")
-        symbols, inside = _symbols(value)
-        ended = len(value) <= DEPTH
-        best = max(a.score(symbols, ended) for a in self.good) + inside
-        other = self.plain.score(symbols, ended) + inside if self.plain else len(symbols) * math.log(1 / 64)
-        return (best - other) / (len(symbols) + ended)
-
-
-def labelled_values(text: str) -> list[tuple[str, str]]:
-    """(label, value) of a text: kinds of base spans, and `ordinary` for other long tokens."""
-    spans = base_spans(text)
-    out = []
-    for start, kind, end in spans:
-        value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
-        if len(value) >= 16 and (kind == 1 or MIXED.match(value)):
-            out.append((KINDS[kind], value))
-    for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in spans):
-            out.append(("ordinary", m[0]))
-    return out
+        """Log-likelihood ratio a character of the best automaton that has values of such a length."""
+        symbols = _symbols(value)
+        likely = [a.score(symbols) for a in self.good if a.plausible(value)]
+        if not likely:
+            return -math.inf
+        return (max(likely) - (self.plain.score(symbols) if self.plain else -(len(symbols) + 1) * math.log(8))) / (len(symbols) + 1)
 
+    def found(self, token: str) -> bool:
+        return self.margin(token) >= self.threshold
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Formats:
-    """From a bounded sample of documents, taken by a hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [x for t in b.column("text").to_pylist() for x in labelled_values(t or "")]
-            yield pa.record_batch([pa.array([x[0] for x in got], pa.string()), pa.array([x[1][: DEPTH + 1] for x in got], pa.string())], ["label", "value"])
+class _Cover:
+    """Which stretches of a text no span touches, by binary search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in spans]
+        self.reach = list(accumulate((e for _, _, e in spans), max))
 
-    sample = hash_sample(docs, train_docs).select("text").mapInArrow(run, "label string, value string")
-    labelled: dict[str, list[str]] = {}
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("value"), "value"))
-    for row in sample.distinct().withColumn("rank", rank).filter(F.col("rank") <= TRAIN_VALUES).orderBy("label", "rank").collect():
-        labelled.setdefault(row.label, []).append(row.value)
-    return Formats(labelled)
+    def spares(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return not k or self.reach[k - 1] <= start
 
 
-def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def credentials(text: str) -> list[tuple[str, str]]:
+    """(label, value) of the base spans."""
+    return [(KINDS[kind], ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]) for start, kind, end in base_spans(text)]
+
+
+def ordinary_tokens(text: str) -> list[str]:
+    cover = _Cover(base_spans(text))
+    return [m[0] for m in TOKEN.finditer(text) if cover.spares(m.start(), m.end())]
+
+
+def train(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS) -> Formats:
+    """Credentials from all documents, ordinary tokens from a bounded sample of them; of each label the TRAIN_VALUES with the least hashes."""
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = sorted({(k, v[:TRAIN_LENGTH]) for t in b.column("text").to_pylist() for k, v in credentials(t or "")})
+            yield pa.record_batch([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], ["label", "value"])
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = sorted({v[:TRAIN_LENGTH] for t in b.column("text").to_pylist() for v in ordinary_tokens(t or "")})
+            yield pa.record_batch([pa.array(["ordinary"] * len(got), pa.string()), pa.array(got, pa.string())], ["label", "value"])
+
+    known = docs.select("text").mapInArrow(labelled, "label string, value string")
+    found = known.unionByName(hash_sample(docs, ordinary_docs).select("text").mapInArrow(plain, "label string, value string"))
+    values: dict[str, list[str]] = {}
+    # a row a distinct value, then the least hashes by label: partial top-k, no label meets in a task
+    distinct = stage(found.distinct().withColumn("h", F.xxhash64("value")), "labelled-values")
+    for label in (*KINDS[:3], "ordinary"):
+        for row in distinct.filter(F.col("label") == label).orderBy("h", "value").limit(TRAIN_VALUES).collect():
+            values.setdefault(label, []).append(row.value)
+    forget(distinct)
+    return Formats(values)
+
+
+def scan(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_format, base (base spans) and spans (all): "kind:start:end", comma-joined."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    formats = train(docs, train_docs)
+    formats = train(docs, ordinary_docs)
 
-    def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    def spans_of(text: str, judged: Memo) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = base_spans(text)
-        more = [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if MIXED.match(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base) and formats.margin(m[0]) >= formats.threshold]
-        return base, more
+        cover = _Cover(base)
+        return base, [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if judged[m[0]] and cover.spares(m.start(), m.end())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = Memo(lambda token: b"1" if formats.found(token) else b"", MEMO_BYTES)
         show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
         for b in batches:
-            found = [spans_of(t or "") for t in b.column("text").to_pylist()]
+            found = [spans_of(t or "", judged) for t in b.column("text").to_pylist()]
             counts = [pa.array([sum(k == kind for _, k, _ in base + more) for base, more in found], pa.int64()) for kind in range(4)]
             yield pa.record_batch([b.column("doc_id"), *counts, pa.array([show(base) for base, _ in found], pa.string()), pa.array([show(sorted(base + more)) for base, more in found], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_format", "base", "spans"])
 
     return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base string, spans string")
 
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
