@@ -72,13 +72,31 @@ def removal(rows, window):
     return as_sorted(out)
 
 
-@pytest.mark.parametrize("cap", [1000, 1])
+@pytest.mark.parametrize("cap", [1000, 3, 1])
 def test_substring_dedup(odd, documents, cap):
-    for df in (odd, documents) if cap > 1 else (odd,):
+    for df in (odd, documents) if cap != 3 else (odd,):
         got = substring_dedup.remove_repeats(df, group_cap=cap).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
         assert as_sorted(tuple(r) for r in got) == removal(rows_of(df), substring_dedup.WINDOW)
 
 
+def test_subtree_nodes():
+    """Leaves by node against a plain grouping of windows; contexts that share passages, and one window only."""
+    rng = random.Random(6)
+    passage = [rng.randrange(9) for _ in range(12)]
+    contexts = [np.array([rng.randrange(9) for _ in range(rng.randrange(4, 9))] + passage[rng.randrange(6) :], np.uint64) for _ in range(40)] + [np.arange(4, dtype=np.uint64)]
+    want = collections.defaultdict(list)
+    for c, x in enumerate(contexts):
+        for k in range(len(x) - 3):
+            want[tuple(x[k : k + 4].tolist())].append((c, k))
+    for least in (1, 2):
+        tree = substring_dedup.Subtree(contexts, 4, least)
+        leaves = list(zip(tree.leaf_context.tolist(), tree.leaf_offset.tolist(), strict=True))
+        ends = [*tree.first.tolist()[1:], len(leaves)]
+        got = [sorted(leaves[a:z]) for a, z in zip(tree.first.tolist(), ends, strict=True)]
+        assert sorted(got) == sorted(sorted(v) for v in want.values() if len(v) >= least)
+        assert len(set(tree.paths(4).tolist())) == len(got)
+
+
 def fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
@@ -288,11 +306,26 @@ def test_token_counts(odd, documents):
             words = (t or "").split()
             want.append((i, len(words), sum(memo.setdefault(w, best(w)) if w not in memo else memo[w] for w in words)))
         assert as_sorted(tuple(r) for r in token_counts.token_counts(df, path).collect()) == as_sorted(want)
+    assert sum(map(__import__("math").exp, model.score.values())) == pytest.approx(1)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeäß好 \U0001f600".replace(" ", "")) for _ in range(rng.choice([1, 3, 9, 40, 900]))) for _ in range(300)]
+    for small in (token_counts.UnigramTrie(path, 60, 8), token_counts.UnigramTrie(path)):  # a trie that is full all the time, and one that never is
+        assert [small.count(w)[1] for w in words + words] == [best(w) for w in words] * 2
+        assert len(small.best) <= small.max_nodes and len(small.child) == len(small.best) - 1
+    shared = token_counts.UnigramTrie(path)
+    shared.count("prefix prefixes prefixed")
+    assert len(shared.best) == 1 + len("prefix") + len("es") + len("d")
+
+
+# The contract's patterns, written apart from the module.
+CONTRACT = [
+    (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("password|passwd|secret|token|api_?key", "(?i:password|passwd|secret|token|api_?key)"), re.A), lambda m: len(m[2]) >= 12),
+    (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+]
 
 
 def base(text):
-    kinds = [("assign", secrets.ASSIGN, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
-    return sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(kinds) for m in p.finditer(text or "") if ok(m))
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(CONTRACT) for m in p.finditer(text or "") if ok(m))
 
 
 def test_secrets(odd, documents):
@@ -303,14 +336,46 @@ def test_secrets(odd, documents):
         assert all(set(filter(None, r.base.split(","))) <= set(r.spans.split(",")) for r in got)
 
 
-def test_automata_tell_formats_apart():
+def test_planted_credentials(spark):
+    """Formats that are labelled somewhere by an assignment are found elsewhere, where no base pattern matches; other long tokens are not."""
+    rng = random.Random(2)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    formats = [lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick("ABCDEF0123456789", 32), lambda: "xox" + pick("0123456789", 11) + "-" + pick(alnum, 24)]
+    plain = [
+        lambda: "".join(rng.choice(["an", "er", "sch", "lich", "the", "ion", "re", "ou"]) for _ in range(8)), lambda: f"src/main/{pick('abcdefgh', 8)}/{pick('klmnop', 6)}",
+        lambda: "get" + rng.choice(["User", "Order", "Item"]) + "By" + rng.choice(["Name", "Address", "Number"]), lambda: f"some-hyphenated-{pick('aeiou', 4)}-word",
+    ]
+    rows, planted = [], {}
+    for i in range(900):
+        words = [rng.choice(plain)() if rng.random() < 0.2 else pick("abcdefgh", rng.randrange(2, 8)) for _ in range(30)]
+        if i % 3 == 0:
+            words[5] = "token=" + rng.choice(formats)()
+        elif i % 3 == 1:
+            words[7] = rng.choice(formats)()
+            start = len(" ".join(words[:7])) + 1
+            planted[i] = (start, start + len(words[7]))
+        rows.append((i, " ".join(words)))
+    rows.append((5000, "x" * 30_000 + pick(alnum, 5000)))
+    got = {r.doc_id: r.spans.split(",") if r.spans else [] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i, (s, e) in planted.items() if not any(x in (f"format:{s}:{e}", f"hex:{s}:{e}") for x in got[i])]
+    assert len(missed) <= 0.05 * len(planted)
+    wrong = [x for i, spans in got.items() for x in spans if x.startswith("format") and (i not in planted or x != f"format:{planted[i][0]}:{planted[i][1]}")]
+    assert len(wrong) <= 0.005 * 900
+    assert all(not x.startswith("format") for x in got[5000])
+
+
+def test_automata_merge_states():
     rng = random.Random(2)
     keys = ["sk" + "".join(rng.choice("0123456789") for _ in range(4)) + "".join(rng.choice("abcdef0123456789") for _ in range(24)) for _ in range(300)]
     plain = ["".join(rng.choice("ghijklmnopqrstuvwxyz") for _ in range(20)) + "-v" + str(rng.randrange(99)) for _ in range(300)]
     formats = secrets.Formats({"hex": keys[:200], "ordinary": plain[:200]})
     assert formats.good[0].states < 40
-    assert np.mean([formats.margin(k) >= formats.threshold for k in keys[200:]]) > 0.95
-    assert np.mean([formats.margin(k) >= formats.threshold for k in plain[200:]]) < 0.02
+    assert np.mean([formats.found(k) for k in keys[200:]]) > 0.95
+    assert np.mean([formats.found(k) for k in plain[200:]]) < 0.02
+    assert not secrets.Formats({"ordinary": plain}).found(keys[0])
+    cover = secrets._Cover([(2, 0, 10), (4, 2, 6), (20, 1, 30)])
+    assert [cover.spares(a, z) for a, z in ((0, 2), (0, 3), (6, 9), (10, 20), (10, 21), (29, 40), (30, 31))] == [True, False, False, True, False, False, True]
 
 
 def test_toxicity(spark, odd, documents):
