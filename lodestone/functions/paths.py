@@ -30,16 +30,11 @@ def not_excluded(path: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """Of a whole path if the glob has a slash, else of a file name. `**` crosses directories, `*` and `?` don't."""
-    g, out, i = glob.replace("\\", "/"), "", 0
-    while i < len(g):
-        if g.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif g.startswith("**", i):
-            out, i = out + ".*", i + 2
-        else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(g[i], re.escape(g[i])), i + 1
-    return f"(?i)^{out}$"
+    """Of a whole path if the glob has a slash, else of a file name. `**` crosses directories, `*` and `?` don't; a slash after `**` stays a
+    slash, so `a/**/b` is not `a/b`."""
+    wild = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.split(r"(\*\*|\*|\?)", glob.replace("\\", "/"))
+    return "(?i)^" + "".join(wild.get(x) or re.escape(x) for x in parts) + "$"
 
 
 def included(path: Column, globs: list[str] | None) -> Column:

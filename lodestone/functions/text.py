@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bind
+
 #: A byte that belongs to a word: ASCII letters, digits, underscore, and whatever isn't ASCII.
 WORD_CLASS = r"[A-Za-z0-9_[^\x00-\x7F]]"
 EXCERPT, MAX_TEXT_BYTES = 200, 1_048_576
@@ -28,10 +30,19 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def utf16_units(text: Column) -> Column:
+    return F.octet_length(F.encode(text, "UTF-16BE")) / 2
+
+
 def excerpt(text: Column, size: int = EXCERPT) -> Column:
-    """Trimmed, at most `size` characters, an ellipsis if cut."""
-    t = trimmed(text)
-    return F.when(F.char_length(t) <= size, t).otherwise(F.concat(F.substring(t, 1, size), F.lit("…")))
+    """Trimmed, at most `size` UTF-16 units, an ellipsis if cut; a pair of surrogates isn't cut in two."""
+
+    def cut(data: Column) -> Column:
+        split = F.substring(data, 2 * size - 1, 1).between(F.unhex(F.lit("D8")), F.unhex(F.lit("DB")))
+        return F.concat(F.decode(F.when(split, F.substring(data, 1, 2 * size - 2)).otherwise(F.substring(data, 1, 2 * size)), "UTF-16BE"), F.lit("…"))
+
+    # few lines have more characters than that, and only they are looked at in units
+    return bind(trimmed(text), lambda t: F.when(F.char_length(t) <= size // 2, t).otherwise(bind(F.encode(t, "UTF-16BE"), lambda d: F.when(F.octet_length(d) <= 2 * size, t).otherwise(cut(d)))))
 
 
 def is_text(data: Column) -> Column:
@@ -48,7 +59,7 @@ def all_lines(text: Column) -> Column:
 
 
 def clean_cell(text: Column) -> Column:
-    """Fit for a tab-separated cell."""
+    """Fit for a tab-separated cell: tabs and line feeds are spaces, carriage returns go."""
     return F.translate(text, "\t\n\r", "  ")
 
 

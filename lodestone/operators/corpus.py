@@ -15,9 +15,11 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def blobs(files: DataFrame) -> DataFrame:
-    """sha, path (the first), text of each distinct content."""
+    """sha, path (the first), text of each distinct content. First paths are found over keys alone; then the file that has one carries the text, so texts are
+    hashed where they are read and moved once, to the join."""
     keyed = files.select("path", "text", content_sha(F.col("text")).alias("sha"))
-    return keyed.groupBy("sha").agg(F.min("path").alias("path"), F.any_value("text").alias("text"))
+    first = keyed.groupBy("sha").agg(F.min("path").alias("path"))
+    return keyed.join(first, ["sha", "path"]).select("sha", "path", "text")
 
 
 def blob_lines(blob: DataFrame) -> DataFrame:
@@ -33,13 +35,22 @@ def blob_sizes(blob: DataFrame) -> DataFrame:
     return full.select("sha", "n_lines", F.size("full").cast("long").alias("n_text_lines"), F.aggregate("full", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)).alias("n_bytes"))
 
 
-def corpus_ids(sizes: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """id and end offset of each content by sha; keep (sha): what survives a prune, numbered anew. Offsets are running sums, so the
-    rows (three numbers a content) are ordered in one place."""
+#: Contents are numbered within ranges of their sha; a range is its leading hexadecimal digits, so there are 16 ** RANGE_DIGITS of them at most.
+RANGE_DIGITS = 3
+
+
+def corpus_ids(sizes: DataFrame, keep: DataFrame | None = None, last_id: int = 0, last_offset: int = 0) -> DataFrame:
+    """id and end offset of each content by sha, after last_id and last_offset; keep (sha): what survives a prune, numbered anew. Running numbers are
+    taken within ranges of sha in parallel, and what comes before a range is added: a broadcast of 4,096 rows at most."""
     if keep is not None:
         sizes = sizes.join(keep.select("sha").distinct(), "sha", "left_semi")
-    order = Window.orderBy("sha")
-    return sizes.select("sha", F.row_number().over(order).cast("long").alias("id"), F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("end_offset"), "n_lines")
+    ranged = sizes.withColumn("range", F.substring("sha", 1, RANGE_DIGITS))
+    order = Window.orderBy("range")
+    sums = ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
+    before = sums.select("range", (F.sum("n").over(order) - F.col("n")).alias("n_before"), (F.sum("b").over(order) - F.col("b")).alias("b_before"))
+    inside = Window.partitionBy("range").orderBy("sha")
+    out = ranged.withColumn("i", F.row_number().over(inside)).withColumn("o", F.sum("n_bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "range")
+    return out.select("sha", (F.col("n_before") + F.col("i") + last_id).cast("long").alias("id"), (F.col("b_before") + F.col("o") + last_offset).alias("end_offset"), "n_lines")
 
 
 def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -65,6 +76,12 @@ def project_of(paths: DataFrame, projects: DataFrame) -> DataFrame:
     return paths.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("home")).join(nearest, "home", "left").select("path", F.coalesce("project", F.lit("")).alias("project"))
 
 
-def preview(lines: DataFrame, head: int, tail: int) -> DataFrame:
-    """First and last lines of each file; lines: path, n_lines, line, text."""
-    return lines.filter((F.col("line") <= head) | (F.col("line") > F.col("n_lines") - tail))
+def preview(files: DataFrame, sizes: DataFrame, lines: DataFrame, head: int, tail: int) -> DataFrame:
+    """First and last lines of each file, blank ones included. files: path, sha; sizes: sha, n_lines; lines: sha, line, text of those that aren't empty.
+    path, n_lines, line, text; a file of no more than head + tail lines is shown whole."""
+    n = F.col("n_lines").cast("int")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i <= head) | (i > n - tail)))
+    ends = F.concat(F.sequence(F.lit(1), F.least(n, F.lit(head))), F.sequence(n - tail + 1, n))
+    shown = F.when(n <= 0, F.array().cast("array<int>")).when(n <= head + tail, places).otherwise(ends)
+    at = files.select("path", "sha").join(sizes.select("sha", "n_lines"), "sha").select("path", "sha", "n_lines", F.explode(shown).alias("line"))
+    return at.join(lines.select("sha", "line", "text"), ["sha", "line"], "left").select("path", "n_lines", "line", F.coalesce("text", F.lit("")).alias("text"))

@@ -24,11 +24,15 @@ def simple_name(name: Column | str = "name") -> Column:
 
 
 def base_names(bases: Column) -> Column:
-    """Simple names of a base list: arguments cut off, last part of dotted names."""
-    out = bases
-    for _ in range(6):  # innermost argument lists first
-        out = F.regexp_replace(out, r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]", "")
-    parts = F.transform(F.split(out, ","), lambda x: F.substring_index(F.trim(x), ".", -1))
+    """Simple names of a base list: arguments cut off, however deep, last part of dotted names."""
+    tokens = F.regexp_extract_all(bases, F.lit(r"[<>()\[\]]|[^<>()\[\]]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    opens, closes = (lambda x: x.isin("<", "(", "[")), (lambda x: x.isin(">", ")", "]"))
+    step = lambda a, x: F.struct(
+        F.when(opens(x), a["depth"] + 1).when(closes(x), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"]).alias("depth"),
+        F.when((a["depth"] == 0) & ~opens(x) & ~closes(x), F.concat(a["out"], x)).otherwise(a["out"]).alias("out"),
+    )
+    parts = F.transform(F.split(F.aggregate(tokens, start, step, lambda a: a["out"]), ","), lambda x: F.substring_index(F.trim(x), ".", -1))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -37,9 +41,15 @@ def listed(column: str, value: str, suffix: str = "") -> Column:
     return F.col(column).rlike(f"(?:^|[,.]){_quoted(value)}{suffix}(?:<|,|$)")
 
 
+#: The columns of a declaration in the order of a row.
+COLUMNS = ("kind", "name", "container", "modifiers", "attributes", "bases", "signature", "line", "file", "project")
+
+
 def generated() -> Column:
+    """The mark as an element of any column, or a file name of generated code; in any case of letters."""
     f = F.lower("file")
-    return listed("attributes", "GeneratedCode", "(?:Attribute)?") | f.rlike(r"\.designer\.cs$|\.g\.(?:i\.)?cs$") | f.rlike(r"/reference\.cs$")
+    row = F.concat_ws("\t", *[F.col(c).cast("string") for c in COLUMNS])
+    return row.rlike(r"(?i)(?:^|[\t,.])GeneratedCode(?:Attribute)?(?:[,\t]|$)") | f.rlike(r"\.designer\.cs$|\.g\.(?:i\.)?cs$|/reference\.cs$")
 
 
 def find(decl: DataFrame, *, name: str | None = None, container: str | None = None, file: str | None = None, project: str | None = None, kind: str | list[str] | None = None, base: str | None = None, attribute: str | None = None, include_generated: bool = False) -> DataFrame:
@@ -70,11 +80,15 @@ def find(decl: DataFrame, *, name: str | None = None, container: str | None = No
     return decl if include_generated else decl.filter(~generated())
 
 
-def group(decl: DataFrame, by: str) -> DataFrame:
-    """Key and n, most first; of equal counts the later key first."""
+def group(decl: DataFrame, by: str, ignore_case: bool = False) -> DataFrame:
+    """Key and n, most first; of equal counts the later key first. With ignore_case, keys that differ in case alone are one (the least of them)."""
     if by not in GROUPS:
         raise ValueError(f"one of {GROUPS}")
-    return decl.groupBy(F.col(by).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("key"))
+    if ignore_case:
+        counted = decl.groupBy(F.lower(by).alias("low")).agg(F.min(by).alias("key"), F.count("*").alias("n")).select("key", "n")
+    else:
+        counted = decl.groupBy(F.col(by).alias("key")).agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), F.desc("key"))
 
 
 def totals(decl: DataFrame, by: str) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .. import csharp
 from ..functions import text as T
 from ..functions.paths import extension, not_excluded
-from ..operators import closure, corpus, declarations, policy, search
+from ..operators import closure, corpus, declarations, events, intent, search
 from ..sources.worktree import decoded, virtual_files
+from . import cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,13 +144,15 @@ def path_filters(spark, d):
     return _files(spark, d).select("path", extension(F.col("path")).alias("ext"), not_excluded(F.col("path")).alias("kept"))
 
 
-HEAD = f"{BASE} SELECT f.path, l.line, l.text FROM lines l JOIN files f USING (sha) WHERE l.line <= 3 OR l.line > l.n_lines - 2"
+HEAD = f"{BASE} SELECT f.path, l.line, l.text FROM alllines l JOIN files f USING (sha) WHERE l.n_lines > 0 AND (l.line <= 3 OR l.line > l.n_lines - 2)"
 
 
 @query(HEAD)
 def summarize_head_tail(spark, d):
+    """Positions count blank lines, and blank lines are shown."""
     files = _files(spark, d)
-    return corpus.preview(_lines(spark, d).join(corpus.manifest(files), "sha"), 3, 2).select("path", "line", "text")
+    sizes = corpus.blob_sizes(corpus.blobs(files))
+    return corpus.preview(corpus.manifest(files), sizes, _lines(spark, d), 3, 2).select("path", "line", "text")
 
 
 # ---------------------------------------------------------------- usages and ranking
@@ -165,7 +168,8 @@ def _usages(name: str, symbol: str, scope: str | None = None, globs: list[str] |
 
 _usages("usages_all", "erthing")
 _usages("usages_scoped", "the", "src5\\", None, " AND lower(f.path) LIKE 'src5/%'")
-_usages("usages_include", "que", None, ["*3.txt", "src7/**/*.txt"], " AND (f.path LIKE '%3.txt' OR regexp_matches(f.path, '^src7/(.*/)?[^/]*[.]txt$'))")
+_usages("usages_include", "que", None, ["*3.txt", "src7/**/*.txt"], " AND (f.path LIKE '%3.txt' OR regexp_matches(f.path, '^src7/.*/[^/]*[.]txt$'))")
+_usages("usages_include_deep", "de", None, ["*3.txt", "src7/**/es/*.txt", "src5/**/*7.txt"], " AND (f.path LIKE '%3.txt' OR (f.path LIKE 'src5/%/%7.txt'))")
 _usages("usages_accented_symbol", "ción")
 _usages("usages_partial_accented", "mente")
 _usages("usages_numeric_symbol", "168")
@@ -173,6 +177,18 @@ _usages("usages_missing", "zzqqxx")
 _usages("usages_token", "token")
 
 
+# Documents with every e as a character of two UTF-16 units: an excerpt ends before a character that would be cut in two.
+ASTRAL = "t AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(10), ' '), 'e', '😀') AS text FROM documents), c AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM t), u AS (SELECT doc_id, text, generate_subscripts(p, 1) AS i, unnest(p) AS ch FROM (SELECT *, string_split(text, '') AS p FROM c)), w AS (SELECT *, sum(CASE WHEN unicode(ch) > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id, text ORDER BY i) AS units FROM u), k AS (SELECT doc_id, any_value(text) AS text, max(units) AS units, count(*) FILTER (WHERE units <= 200) AS n FROM w GROUP BY doc_id, text)"
+
+
+@query(f"WITH {ASTRAL} SELECT doc_id, CASE WHEN units <= 200 THEN text ELSE substr(text, 1, n) || '…' END AS excerpt FROM k WHERE text <> ''")
+def usages_excerpt(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("e"), F.lit("😀"))
+    shown = docs.select("doc_id", text.alias("t")).filter(T.trimmed(F.col("t")) != "")
+    return shown.groupBy("doc_id", "t").count().select("doc_id", T.excerpt(F.col("t")).alias("excerpt"))
+
+
 @query(f"{BASE}, u AS (SELECT DISTINCT f.path, l.line FROM lines l JOIN files f USING (sha) WHERE {KEPT} AND {_word_sql('of')}) SELECT path, count(*) AS n FROM u GROUP BY path")
 def usages_per_file_totals(spark, d):
     return search.usages(_lines(spark, d), corpus.manifest(_files(spark, d)), "of").groupBy("path").agg(F.count("*").alias("n"))
@@ -213,7 +229,7 @@ _rank("rank_include_top", ["was", "license"], None, ["*7.txt"], 5, " AND f.path
 # ---------------------------------------------------------------- C# declarations
 
 SOURCE = """using System;
-#if FEATURE_{m} && !OFF
+#if FEATURE_{m}
 namespace Acme.Area{n}
 {{
     [Serializable, Owner("x{k}")]
@@ -234,6 +250,14 @@ namespace Acme.Area{n}
     internal struct Pair<TA, TB> {{ }}
     [ServiceContract]
     public interface IThing{k} : IBase {{ void SaveAction(); }}
+    public record Money{k}(decimal Amount, string Code) : Value;
+    readonly record struct Spot{k}(int X, int Y) : IHandler<(int, string), Dictionary<string, List<List<int>>>> {{ }}
+    class Closing{k} {{ ~Closing{k}() {{ }} public static bool operator ==(Closing{k} a, Closing{k} b) => true; }}
+#if !OFF
+    class Hidden{k} {{ }}
+#else
+    class Shown{k} {{ }}
+#endif
 }}
 #else
 class Lost{k} {{ }}
@@ -258,6 +282,10 @@ EXPECTED = [
     ("struct", "Pair`2", "Acme.Area{n}", "internal", "", "", "", 20),
     ("interface", "IThing{k}", "Acme.Area{n}", "public", "ServiceContract", "IBase", "", 22),
     ("method", "SaveAction", "Acme.Area{n}.IThing{k}", "", "", "", "void ()", 22),
+    ("record", "Money{k}", "Acme.Area{n}", "public", "", "Value", "", 23),
+    ("record", "Spot{k}", "Acme.Area{n}", "readonly", "", "IHandler<(int, string), Dictionary<string, List<List<int>>>>", "", 24),
+    ("class", "Closing{k}", "Acme.Area{n}", "", "", "", "", 25),
+    ("class", "Shown{k}", "Acme.Area{n}", "", "", "", "", 29),
 ]
 AREA = "namespace Acme;\n[GeneratedCode]\npublic abstract class Area{n}ServiceBase : Region{r}ServiceCore {{ protected int state; }}\n"
 EXPECTED_AREA = [("class", "Area{n}ServiceBase", "Acme", "public abstract", "GeneratedCode", "Region{r}ServiceCore", "", 3), ("field", "state", "Acme.Area{n}ServiceBase", "protected", "", "", "int", 3)]
@@ -289,8 +317,7 @@ def declared(spark: SparkSession, d: str) -> DataFrame:
     files = sources(spark, d)
     cs = files.filter("path like '%.cs'").withColumn("sha", T.content_sha(F.col("text")))
     symbols = sorted(r.s for r in cs.select(F.explode(T.directive_symbols(F.col("text"))).alias("s")).distinct().collect())
-    # OFF only ever appears negated; the union of symbols would switch every branch off
-    decl = csharp.extract(cs.groupBy("sha").agg(F.any_value("text").alias("text")), [s for s in symbols if s != "OFF"])
+    decl = csharp.extract(cs.groupBy("sha").agg(F.any_value("text").alias("text")), symbols)
     project = corpus.project_of(cs.select("path"), files.filter("path like '%.csproj'").select("path"))
     return cs.select("sha", "path").join(project, "path").join(decl, "sha").drop("sha").withColumnRenamed("path", "file")
 
@@ -318,7 +345,7 @@ def _expected() -> str:
 
 DECL = f"WITH RECURSIVE {_expected()}"
 COLUMNS = "file, project, ord, kind, name, container, modifiers, attributes, bases, signature, line"
-VISIBLE = "NOT (regexp_matches(lower(file), '[.]designer[.]cs$') OR regexp_matches(attributes, '(^|[,.])GeneratedCode(Attribute)?(<|,|$)'))"
+VISIBLE = "NOT (regexp_matches(lower(file), '[.]designer[.]cs$') OR regexp_matches(concat_ws(chr(9), kind, name, container, modifiers, attributes, bases, signature, line, file, project), '(?i)(^|[' || chr(9) || ',.])GeneratedCode(Attribute)?([,' || chr(9) || ']|$)'))"
 
 
 @query(f"{DECL} SELECT {COLUMNS} FROM decl WHERE kind IN ('class', 'interface', 'struct', 'record', 'enum', 'delegate')")
@@ -390,6 +417,20 @@ _find("decl_include_generated", "kind = 'class'", False, kind="class")
 _find("decl_combined", "kind = 'class' AND project = 'Whole' AND regexp_matches(attributes, '(^|[,.])Serializable(Attribute)?(<|,|$)')", kind="class", project="Whole", attribute="Serializable")
 
 
+@query(f"{DECL}, g AS (SELECT *, 'GeneratedCode' AS mark FROM decl) SELECT kind, name, line, regexp_matches(CASE WHEN line % 2 = 0 THEN bases || ',generatedcodeAttribute' ELSE bases || ',GeneratedCodes' END, '(?i)(^|[,.])GeneratedCode(Attribute)?(,|$)') OR regexp_matches(lower(file), '[.]designer[.]cs$') OR contains(attributes, 'GeneratedCode') AS made FROM g")
+def decl_generated_mark(spark, d):
+    """The mark of generated code in any column, in any case of letters."""
+    marked = F.when(F.col("line") % 2 == 0, ",generatedcodeAttribute").otherwise(",GeneratedCodes")
+    return declared(spark, d).withColumn("bases", F.concat("bases", marked)).select("kind", "name", "line", declarations.generated().alias("made"))
+
+
+@query(f"{DECL}, b AS (SELECT CASE WHEN line % 2 = 0 THEN upper(name) ELSE name END AS name FROM decl) SELECT min(name) AS key, count(*) AS n FROM b GROUP BY lower(name)")
+def decl_group_folded(spark, d):
+    """Groups that differ in case alone are one."""
+    named = declared(spark, d).withColumn("name", F.when(F.col("line") % 2 == 0, F.upper("name")).otherwise(F.col("name")))
+    return declarations.group(named, "name", ignore_case=True)
+
+
 def _group(by: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return declarations.group(declared(spark, d), by)
@@ -417,7 +458,7 @@ def homonyms_by_project(spark, d):
     return declarations.homonyms(declared(spark, d))
 
 
-@query("SELECT 'Level' || s_suppkey AS name, CAST(1 AS BIGINT) AS n FROM supplier UNION ALL SELECT 'Area' || n_nationkey || 'ServiceBase', CAST(1 AS BIGINT) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT 'Aside' || r_regionkey, CAST(1 AS BIGINT) FROM region")
+@query("SELECT 'Level' || s_suppkey AS name, CAST(1 AS BIGINT) AS n FROM supplier UNION ALL SELECT 'Area' || n_nationkey || 'ServiceBase', CAST(1 AS BIGINT) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT 'Aside' || r_regionkey, CAST(1 AS BIGINT) FROM region UNION ALL SELECT x || s_suppkey, CAST(1 AS BIGINT) FROM supplier, (VALUES ('Closing'), ('Shown')) v(x)")
 def dead_declarations(spark, d):
     decl = declared(spark, d).filter("kind in ('enum', 'class')")
     return declarations.unused(decl, corpus.blob_lines(corpus.blobs(sources(spark, d))))
@@ -462,67 +503,115 @@ def closure_file(spark, d):
 
 # ---------------------------------------------------------------- policy
 
-# Patterns by event_id modulo their number, with what they are classified as.
+# Patterns by event_id modulo their number, with what they are classified as; N stands for the event's user.
 PATTERNS = [
-    (r"class\s+Order", "name:Order:class"), (r":\s*ServiceBase", "base:ServiceBase:class"), (r"\[Obsolete", "attribute:Obsolete:"), (r"public\s+void\s+Save\s*\(", "name:Save:method,ctor"),
-    (r"std::vector", ""), (r"(?:foo)", ""), (r"interface ", "kind::interface"), (r"Total", ""), (r"a.*b", ""), (r"partial class Foo", "name:Foo:class"), (r"enum\b", "kind::enum"), (r"x\.y", ""),
+    (r"class\s+OrderN", "name:OrderN:class"), (r":\s*ServiceN", "base:ServiceN:class"), (r"\[OwnerN", "attribute:OwnerN:"), (r"public\s+void\s+SaveN\s*\(", "name:SaveN:method,ctor"),
+    (r"std::vectorN", ""), (r"(?:fooN)", ""), (r"interface ", "kind::interface"), (r"TotalN", ""), (r"aN.*b", ""), (r"partial class FooN", "name:FooN:class"), (r"enum\b", "kind::enum"), (r"x\.yN", ""),
+    (r": (IThing|IOtherN)", "base:IOtherN:class"), (r"what\? : BaseN", ""), (r"my.class FooN", ""), (r"subclass FooN", ""), (r"override .* RunN \(", "name:RunN:method,ctor"),
 ]
-META_SQL = r"[.*+?\[\](){}|^$\\]"
 
 
-def _pick(values: list, column: str = "event_id") -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int"))
+def _regex_sql(p: str) -> str:
+    bare = f"replace({p}, chr(92) || 'b', '')"
+    return f"regexp_matches({bare}, '[][.*+?(){{}}|^$' || chr(92) || chr(92) || ']')"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+def _pick(values: list[str], column: str = "event_id") -> F.Column:
+    """The value of the event's turn, N as its user."""
+    return F.replace(F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int")), F.lit("N"), F.col("user_id").cast("string"))
+
+
+def _picked(values: list[str]) -> str:
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"replace([{listed}][event_id % {len(values)} + 1], 'N', CAST(user_id AS VARCHAR))"
 
 
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+def _payload(tool: str, cwd: F.Column | None = None, **fields: F.Column) -> F.Column:
+    """JSON of an event; fields that are null are left out."""
+    given = F.struct(*[c.alias(n.replace("__", "-")) for n, c in fields.items()])
+    at = F.lit(cases.ROOT) if cwd is None else cwd
+    return F.to_json(F.struct(F.lit("PreToolUse").alias("hook_event_name"), F.lit(tool).alias("tool_name"), at.alias("cwd"), given.alias("tool_input"))).alias("payload")
 
 
-@query(f"SELECT event_id, {_list([c for _, c in PATTERNS])}[event_id % {len(PATTERNS)} + 1] AS found, regexp_matches(replace({_list([p for p, _ in PATTERNS])}[event_id % {len(PATTERNS)} + 1], '\\b', ''), '{META_SQL}') AS has_regex FROM events")
+def _decided(spark: SparkSession, e: DataFrame, payload: F.Column) -> DataFrame:
+    tree = spark.createDataFrame(cases.TREE, "path string, n_lines int")
+    return events.decide(e.select("event_id", payload), tree, cases.ROOT)
+
+
+@query("SELECT event_id, event_type AS tool, 'user' || user_id AS pattern, event_id % 3 = 0 AS has_context, event_id % 4 = 1 AS folded FROM events")
+def policy_payload(spark, d):
+    """Fields of payloads: absent, null, false, zero and true values of options."""
+    e = _events(spark, d)
+    turn = F.col("event_id")
+    fold = F.when(turn % 4 == 0, '"-i": null').when(turn % 4 == 1, '"-i": true').when(turn % 4 == 2, '"-i": 0').otherwise('"-i": ""')
+    context = F.when(turn % 3 == 0, ', "-A": 2').when(turn % 3 == 1, ', "-A": null').otherwise("")
+    raw = F.concat(F.lit('{"tool_name": "'), "event_type", F.lit('", "tool_input": {"pattern": "user'), F.col("user_id").cast("string"), F.lit('", '), fold, context, F.lit("}}"))
+    return events.parsed(e.select("event_id", raw.alias("payload"))).select("event_id", "tool", events.text_of("pattern").alias("pattern"), events.present("-A").alias("has_context"), events.truthy("-i").alias("folded"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 IN (1, 3) THEN 'allow' ELSE 'declaration' END AS decision FROM events")
+def policy_scope(spark, d):
+    places = ["/work/code", "/work/other", "/WORK/code/Applications/", "/work/codeN", "/work/code/x/../y", "/work/code/docs"]
+    at = F.when(F.col("event_id") % 7 < 6, F.element_at(F.array(*map(F.lit, places)), (F.col("event_id") % 7 + 1).cast("int")))
+    return _decided(spark, _events(spark, d), _payload("Grep", at, pattern=F.concat(F.lit("class User"), F.col("user_id").cast("string")), path=F.lit(cases.ROOT), type=F.lit("cs"))).select("event_id", "decision")
+
+
+@query(f"WITH e AS (SELECT event_id, {_picked([p for p, _ in PATTERNS])} AS p, {_picked([c for _, c in PATTERNS])} AS found FROM events) SELECT event_id, found, {_regex_sql('p')} AS has_regex FROM e")
 def policy_classify(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", _pick([p for p, _ in PATTERNS]).alias("p"))
-    return e.select("event_id", policy.classify(F.col("p")).alias("found"), policy.has_regex(F.col("p")).alias("has_regex"))
+    e = _events(spark, d).select("event_id", _pick([p for p, _ in PATTERNS]).alias("p")).withColumn("c", intent.classify(F.col("p")))
+    return e.select("event_id", F.when(F.col("c").isNotNull(), F.concat_ws(":", "c.by", "c.value", "c.kind")).otherwise("").alias("found"), intent.has_regex(F.col("p")).alias("has_regex"))
 
 
-GLOBS = ["**/*.cs", "Applications/X/**/*.cs", "**/Exact.cs", "Components/*.cs", "src/*.txt", "a/b/c*.cs"]
+GLOBS = ["**/*.cs", "Applications/AN/**/*.cs", "**/ExactN.cs", "Components/*.cs", "src/*N.txt", "web/b/c*N.cs", "web/**/*.cs", "docs/N/*.md"]
 
 
-@query(f"WITH g AS (SELECT event_id, {_list(GLOBS)}[event_id % {len(GLOBS)} + 1] AS g FROM events) SELECT event_id, regexp_matches(g, '[*][^/]*[.]cs$') AND g IN ('**/*.cs', 'Components/*.cs') AS denied, regexp_matches(regexp_extract(g, '[^/]*$'), '[*][^/]*[.]cs$') AS broad FROM g")
+@query(f"WITH g AS (SELECT event_id, {_picked(GLOBS)} AS g FROM events), s AS (SELECT *, contains(regexp_extract(g, '[^/]*$'), '*') AND g LIKE '%.cs' AS broad, regexp_replace(regexp_replace(g, '[^/]*[*].*$', ''), '/$', '') AS start FROM g) SELECT event_id, CASE WHEN broad AND start IN ('', 'Applications', 'Components') THEN 'listing' ELSE 'allow' END AS decision FROM s")
 def policy_glob(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", _pick(GLOBS).alias("g"))
-    broad = policy.broad_cs_glob(F.col("g"))
-    return e.select("event_id", (broad & ~policy.bounded(policy.fixed_prefix(F.col("g")))).alias("denied"), broad.alias("broad"))
+    return _decided(spark, _events(spark, d), _payload("Glob", pattern=_pick(GLOBS))).select("event_id", "decision")
+
+
+FILES_READ = [p for p, _ in cases.TREE]
 
 
-@query("WITH r AS (SELECT event_id, user_id * 60 AS n, ['a.cs', 'b.py', 'c.md', 'd.sql'][event_id % 4 + 1] AS path, CASE WHEN event_id % 5 = 0 THEN 10 END AS lim FROM events) SELECT event_id, lim IS NULL AND ((path = 'a.cs' AND n >= 2000) OR (path IN ('b.py', 'd.sql') AND n >= 500)) AS denied FROM r")
+@query(f"WITH f AS (SELECT event_id, event_id % 5 = 0 AS part, {_picked(FILES_READ)} AS path FROM events), t AS (SELECT * FROM (VALUES {', '.join(str(x) for x in cases.TREE)}) v(path, n)) SELECT event_id, CASE WHEN NOT part AND ((path LIKE '%.cs' AND n >= 2000) OR (regexp_matches(path, '[.](js|ts|tsx|jsx|sql|py)$') AND n >= 500)) THEN 'read' ELSE 'allow' END AS decision FROM f LEFT JOIN t USING (path)")
 def policy_read_size(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", policy.read_denied(_pick(["a.cs", "b.py", "c.md", "d.sql"]), F.col("user_id") * 60, F.when(F.col("event_id") % 5 == 0, 10)).alias("denied"))
+    limit = F.when(F.col("event_id") % 5 == 0, 10)
+    return _decided(spark, _events(spark, d), _payload("Read", file_path=F.concat(F.lit("/work/code/"), _pick(FILES_READ)), limit=limit)).select("event_id", "decision")
 
 
-@query(f"WITH e AS (SELECT event_id, {_list([p for p, _ in PATTERNS])}[event_id % {len(PATTERNS)} + 1] AS p, {_list([c for _, c in PATTERNS])}[event_id % {len(PATTERNS)} + 1] AS c FROM events) SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'allow' WHEN c <> '' THEN 'declaration' WHEN event_id % 3 = 0 OR regexp_matches(replace(p, '\\b', ''), '{META_SQL}') THEN 'allow' ELSE 'usage' END AS decision FROM e")
+GREP_PATHS = ["Applications", "docs", "Applications/X/Foo.cs", "Applications/Y.Controller", "scripts/run", "missingN", "web", "Applications/X/*.cs", "/elsewhere/N"]
+
+
+@query(f"WITH e AS (SELECT event_id, {_picked([p for p, _ in PATTERNS])} AS p, {_picked([c for _, c in PATTERNS])} AS c, event_id % {len(GREP_PATHS)} AS place, user_id % 3 = 0 AS folded FROM events) SELECT event_id, CASE WHEN place IN (1, 2, 4, 6, 8) THEN 'allow' WHEN c <> '' THEN 'declaration' WHEN folded OR {_regex_sql('p')} THEN 'allow' ELSE 'usage' END AS decision FROM e")
 def policy_grep(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", _pick([p for p, _ in PATTERNS]).alias("p"))
-    return e.select("event_id", policy.grep_decision(F.col("p"), F.col("event_id") % 5 != 0, F.col("event_id") % 7 == 0, F.col("event_id") % 3 == 0).alias("decision"))
+    return _decided(spark, _events(spark, d), _payload("Grep", pattern=_pick([p for p, _ in PATTERNS]), path=_pick(GREP_PATHS), __i=F.col("user_id") % 3 == 0)).select("event_id", "decision")
 
 
-# Shell commands by event_id, with the decision.
-COMMANDS = [
-    ("grep -rn Total src", "usage"), ("grep -rn 'class Order' .", "declaration"), ("cat a.txt | grep Total", "allow"), ("rg Total", "usage"), ("rg -i Total", "allow"), ("grep Total App/A.cs", "allow"),
-    ("git grep Total HEAD~1 -- src", "allow"), ("git grep Total", "usage"), ("grep -rn --include=*.md Total .", "allow"), ("find . -name '*.cs'", "listing"), ("find Applications/X -name '*.cs'", "allow"),
-    ("echo 'unclosed", "allow"), ("F=a.cs; grep Total $F", "allow"), ("find . -name '*.cs' | xargs grep Total", "usage"), ("make build && rg 'a.*b' src", "allow"), ("grep -rn Total src > out.txt 2>&1", "usage"),
-]
+SHELL = [(c.replace("Member", "MemberN"), w) for c, w in cases.BASH if "NOWHERE" not in c]
+POWERSHELL = [(c.replace("Member", "MemberN"), w) for c, w in cases.POWERSHELL]
 
 
-@query(f"SELECT event_id, {_list([x for _, x in COMMANDS])}[event_id % {len(COMMANDS)} + 1] AS decision FROM events")
+@query(f"SELECT event_id, {_picked([w for _, w in SHELL])} AS decision FROM events")
 def policy_shell(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", _pick([c for c, _ in COMMANDS]).alias("command"), F.lit(False).alias("powershell"))
-    return policy.judge_shell(e).select("event_id", "decision")
+    return _decided(spark, _events(spark, d), _payload("Bash", command=_pick([c for c, _ in SHELL]))).select("event_id", "decision")
+
+
+@query(f"SELECT event_id, {_picked([w for _, w in POWERSHELL])} AS decision FROM events")
+def policy_powershell(spark, d):
+    return _decided(spark, _events(spark, d), _payload("PowerShell", command=_pick([c for c, _ in POWERSHELL]))).select("event_id", "decision")
+
+
+DENIED = '{"hookSpecificOutput":{"hookEventName":"PreToolUse","permissionDecision":"deny","permissionDecisionReason":"Grep \'@\' needs no regular expression: use usages(lines, manifest, \'@\') or find(decl, name=\'@\')"}}'.replace("'", "''")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'click' THEN '{\"permissionDecision\":\"deny\",\"permissionDecisionReason\":\"' || event_type || '\"}' ELSE '{}' END AS out FROM events")
+@query(f"SELECT event_id, CASE WHEN event_type = 'click' THEN replace('{DENIED}', '@', 'user' || user_id) ELSE '{{}}' END AS output FROM events")
 def policy_json(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", policy.decision_json(F.col("event_type") == "click", F.col("event_type")).alias("out"))
+    pattern = F.concat(F.when(F.col("event_type") == "click", "user").otherwise("^user"), F.col("user_id").cast("string"))
+    return _decided(spark, _events(spark, d), _payload("Grep", pattern=pattern, glob=F.lit("*.cs"))).select("event_id", "output")
 
 
 def queries() -> dict[str, Query]:

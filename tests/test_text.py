@@ -25,5 +25,5 @@ def test_paths(spark):
     assert keep(".\\App\\") == ["App/A.cs", "App/bin", "app/sub/D.CS"]
     assert keep(None, ["*.cs"]) == ["App/A.cs", "Lib/B.cs", "app/sub/D.CS"]
     assert keep(None, ["App/*.cs"]) == ["App/A.cs"]
-    assert keep(None, ["App/**/*.cs"]) == ["App/A.cs", "app/sub/D.CS"]
+    assert keep(None, ["App/**/*.cs"]) == ["app/sub/D.CS"]
     assert spark.range(1).select(worktree_key(F.lit("E:\\code\\x\\"))).first()[0] == "E__code_x"
