@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .. import csharp
 from ..functions import text as T
 from ..functions.paths import extension, not_excluded
-from ..operators import closure, corpus, declarations, events, intent, search
+from ..operators import closure, corpus, declarations, display, events, intent, search
+from ..sources.shared import kept
 from ..sources.worktree import decoded, virtual_files
 from . import cases
 
@@ -56,18 +57,33 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return virtual_files(spark, d)
 
 
+# The stored corpus: built when a query first needs it, scanned by all others until the table changes.
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, "manifest", [f"{d}/documents.parquet"], lambda: corpus.manifest(_files(spark, d)))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, "blobs", [f"{d}/documents.parquet"], lambda: corpus.blobs(_files(spark, d)))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.blob_lines(corpus.blobs(_files(spark, d)))
+    return kept(spark, "lines", [f"{d}/documents.parquet"], lambda: corpus.blob_lines(_texts(spark, d)))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, "sizes", [f"{d}/documents.parquet"], lambda: corpus.blob_sizes(_texts(spark, d)))
 
 
 @query(f"WITH {FILES} SELECT path, sha FROM files")
 def blob_sha_manifest(spark, d):
-    return corpus.manifest(_files(spark, d))
+    return _manifest(spark, d)
 
 
 @query(f"WITH {FILES}, {BLOBS} SELECT sha, path FROM blobs")
 def distinct_blobs_first_path(spark, d):
-    return corpus.blobs(_files(spark, d)).select("sha", "path")
+    return _texts(spark, d).select("sha", "path")
 
 
 @query(f"{BASE} SELECT sha, line, text FROM lines")
@@ -85,19 +101,18 @@ SIZES = "sizes AS (SELECT sha, CAST(max(n_lines) AS BIGINT) AS n_lines, count(*)
 
 @query(f"{BASE}, {SIZES} SELECT * FROM sizes")
 def blob_line_counts(spark, d):
-    return corpus.blob_sizes(corpus.blobs(_files(spark, d)))
+    return _sizes(spark, d)
 
 
 @query(f"{BASE}, {SIZES} SELECT sha, row_number() OVER (ORDER BY sha) AS id, CAST(sum(n_bytes) OVER (ORDER BY sha) AS BIGINT) AS end_offset, n_lines FROM sizes")
 def corpus_ids_offsets(spark, d):
-    return corpus.corpus_ids(corpus.blob_sizes(corpus.blobs(_files(spark, d))))
+    return corpus.corpus_ids(_sizes(spark, d))
 
 
 @query(f"{BASE}, {SIZES}, live AS (SELECT DISTINCT sha FROM files WHERE path NOT LIKE 'src3/%'), k AS (SELECT sizes.* FROM sizes JOIN live USING (sha)) SELECT sha, row_number() OVER (ORDER BY sha) AS id, CAST(sum(n_bytes) OVER (ORDER BY sha) AS BIGINT) AS end_offset, n_lines FROM k")
 def prune_renumber(spark, d):
-    files = _files(spark, d)
-    live = corpus.manifest(files).filter("path not like 'src3/%'").select("sha")
-    return corpus.corpus_ids(corpus.blob_sizes(corpus.blobs(files)), live)
+    live = _manifest(spark, d).filter("path not like 'src3/%'").select("sha")
+    return corpus.corpus_ids(_sizes(spark, d), live)
 
 
 @query(f"WITH {FILES} SELECT path, octet_length(encode(text)) <= 1048576 AND NOT contains(text, chr(0)) AS is_text, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM files")
@@ -113,7 +128,7 @@ def decode_sources(spark, d):
 
 @query(f"WITH {FILES}, old AS (SELECT path, sha FROM files WHERE hash_id % 7 <> 0), new AS (SELECT path, CASE WHEN hash_id % 5 = 0 THEN sha1(sha) ELSE sha END AS sha FROM files WHERE hash_id % 11 <> 0) SELECT path, CASE WHEN o.sha IS NULL THEN 'added' WHEN n.sha IS NULL THEN 'removed' WHEN o.sha <> n.sha THEN 'changed' ELSE 'same' END AS change FROM old o FULL JOIN new n USING (path)".replace("hash_id", "CAST(regexp_extract(path, '(\\d+)\\.txt$', 1) AS BIGINT)"))
 def manifest_diff(spark, d):
-    m = corpus.manifest(_files(spark, d))
+    m = _manifest(spark, d)
     n = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
     new = m.filter(n % 11 != 0).select("path", F.when(n % 5 == 0, F.sha1("sha")).otherwise(F.col("sha")).alias("sha"))
     return corpus.manifest_changes(m.filter(n % 7 != 0), new)
@@ -121,20 +136,20 @@ def manifest_diff(spark, d):
 
 @query(f"WITH {FILES}, m AS (SELECT path, sha, CAST(regexp_extract(path, '(\\d+)\\.txt$', 1) AS BIGINT) AS k FROM files) SELECT path, CASE WHEN k % 5 = 0 THEN sha1(sha) ELSE sha END AS sha FROM m WHERE k % 10 <> 0")
 def overlay_dirty(spark, d):
-    m = corpus.manifest(_files(spark, d))
+    m = _manifest(spark, d)
     n = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
     return corpus.overlay(m, m.filter(n % 5 == 0).select("path", F.when(n % 10 != 0, F.sha1("sha")).alias("sha")))
 
 
 @query(f"WITH {FILES}, known AS (SELECT DISTINCT sha FROM files WHERE path LIKE '%/en/%') SELECT DISTINCT sha FROM files WHERE sha NOT IN (SELECT sha FROM known)")
 def missing_blobs(spark, d):
-    m = corpus.manifest(_files(spark, d))
+    m = _manifest(spark, d)
     return m.select("sha").distinct().join(m.filter("path like '%/en/%'").select("sha"), "sha", "left_anti")
 
 
 @query(f"WITH {FILES}, old AS (SELECT path, CASE WHEN path LIKE '%1.txt' THEN '' ELSE sha END AS sha FROM files) SELECT f.path, f.sha FROM files f JOIN old USING (path, sha)")
 def seed_reuse(spark, d):
-    m = corpus.manifest(_files(spark, d))
+    m = _manifest(spark, d)
     old = m.select("path", F.when(F.col("path").endswith("1.txt"), "").otherwise(F.col("sha")).alias("sha"))
     return m.join(old, ["path", "sha"], "left_semi")
 
@@ -150,9 +165,7 @@ HEAD = f"{BASE} SELECT f.path, l.line, l.text FROM alllines l JOIN files f USING
 @query(HEAD)
 def summarize_head_tail(spark, d):
     """Positions count blank lines, and blank lines are shown."""
-    files = _files(spark, d)
-    sizes = corpus.blob_sizes(corpus.blobs(files))
-    return corpus.preview(corpus.manifest(files), sizes, _lines(spark, d), 3, 2).select("path", "line", "text")
+    return corpus.preview(_manifest(spark, d), _sizes(spark, d), _lines(spark, d), 3, 2).select("path", "line", "text")
 
 
 # ---------------------------------------------------------------- usages and ranking
@@ -160,7 +173,7 @@ def summarize_head_tail(spark, d):
 
 def _usages(name: str, symbol: str, scope: str | None = None, globs: list[str] | None = None, more: str = "") -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return search.usages(_lines(spark, d), corpus.manifest(_files(spark, d)), symbol, scope, globs)
+        return search.usages(_lines(spark, d), _manifest(spark, d), symbol, scope, globs)
 
     run.__name__ = name
     query(f"{BASE} SELECT DISTINCT f.path, l.line, {_excerpt_sql()} AS text FROM lines l JOIN files f USING (sha) WHERE {KEPT} AND {_word_sql(symbol)}{more}")(run)
@@ -191,12 +204,18 @@ def usages_excerpt(spark, d):
 
 @query(f"{BASE}, u AS (SELECT DISTINCT f.path, l.line FROM lines l JOIN files f USING (sha) WHERE {KEPT} AND {_word_sql('of')}) SELECT path, count(*) AS n FROM u GROUP BY path")
 def usages_per_file_totals(spark, d):
-    return search.usages(_lines(spark, d), corpus.manifest(_files(spark, d)), "of").groupBy("path").agg(F.count("*").alias("n"))
+    return search.usages(_lines(spark, d), _manifest(spark, d), "of").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query(f"{BASE}, u AS (SELECT DISTINCT f.path, l.line, {_excerpt_sql()} AS text FROM lines l JOIN files f USING (sha) WHERE {KEPT} AND {_word_sql('was')}) SELECT row_number() OVER (ORDER BY path, line) AS place, path || chr(9) || line || chr(9) || text AS row FROM u")
+def usages_printed(spark, d):
+    """Rows as they are printed, by path and line; the order is part of the rows."""
+    return display.usages_rows(search.usages(_lines(spark, d), _manifest(spark, d), "was"))
 
 
 @query(f"{BASE}, u AS (SELECT DISTINCT f.path, l.line FROM lines l JOIN files f USING (sha) WHERE {KEPT} AND {_word_sql('with')}) SELECT count(*) AS n, count(DISTINCT path) AS n_files FROM u")
 def usages_totals(spark, d):
-    return search.usages(_lines(spark, d), corpus.manifest(_files(spark, d)), "with").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+    return search.usages(_lines(spark, d), _manifest(spark, d), "with").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
 
 
 def _rank_sql(terms: list[str], top: int, more: str = "") -> str:
@@ -214,7 +233,7 @@ def _rank_sql(terms: list[str], top: int, more: str = "") -> str:
 
 def _rank(name: str, terms: list[str], scope: str | None = None, globs: list[str] | None = None, top: int = 20, more: str = "") -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = search.rank(_lines(spark, d), corpus.manifest(_files(spark, d)), terms, scope, globs, top)
+        found = search.rank(_lines(spark, d), _manifest(spark, d), terms, scope, globs, top)
         return found.withColumn("score", F.round("score", 6))
 
     run.__name__ = name
@@ -226,6 +245,13 @@ _rank("rank_scoped", ["para", "los"], "src4", None, 20, " AND lower(f.path) LIKE
 _rank("rank_include_top", ["was", "license"], None, ["*7.txt"], 5, " AND f.path LIKE '%7.txt'")
 
 
+@query(_rank_sql(["token", "was", "license"], 30).replace("SELECT path, round(score, 6) AS score, terms, lines FROM r", "SELECT row_number() OVER (ORDER BY r.score DESC, path) AS place, path || chr(9) || printf('%.2f', score) || chr(9) || terms || chr(9) || lines AS row, CAST(len(string_split(lines, ',')) AS INTEGER) AS n_lines, array_to_string(list_slice(string_split(lines, ','), 1, 8), ', ') || CASE WHEN len(string_split(lines, ',')) > 8 THEN ' (+' || (len(string_split(lines, ',')) - 8) || ')' ELSE '' END AS shown FROM r"))
+def rank_printed(spark, d):
+    """Rows as they are printed, best first, with the eight first lines and the number of others."""
+    found = search.rank(_lines(spark, d), _manifest(spark, d), ["token", "was", "license"], top=30)
+    return display.rank_rows(found)
+
+
 # ---------------------------------------------------------------- C# declarations
 
 SOURCE = """using System;
@@ -313,6 +339,11 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def declared(spark: SparkSession, d: str) -> DataFrame:
+    """The stored declaration table."""
+    return kept(spark, f"declarations-{csharp.PARSER_VERSION}", [f"{d}/{t}.parquet" for t in ("supplier", "nation", "region")], lambda: _declared(spark, d))
+
+
+def _declared(spark: SparkSession, d: str) -> DataFrame:
     """The declaration table of the generated sources: symbols first, then each content once, then a row a file."""
     files = sources(spark, d)
     cs = files.filter("path like '%.cs'").withColumn("sha", T.content_sha(F.col("text")))
@@ -431,6 +462,19 @@ def decl_group_folded(spark, d):
     return declarations.group(named, "name", ignore_case=True)
 
 
+@query(f"{DECL}, v AS (SELECT * FROM decl WHERE kind = 'class' AND {VISIBLE}), n AS (SELECT *, row_number() OVER (ORDER BY file, line, ord) AS place, count(*) OVER () AS total FROM v) SELECT place, file, line, name, CAST(greatest(total - 25, 0) AS BIGINT) AS hidden FROM n WHERE place <= 25")
+def decl_capped(spark, d):
+    """What is displayed of a long answer: the first rows by file and line, and how many are hidden."""
+    shown = display.capped(declarations.find(declared(spark, d), kind="class"), ["file", "line", "ord"], 25)
+    return shown.select("place", "file", "line", "name", "hidden")
+
+
+@query(f"{DECL}, g AS (SELECT project AS key, count(*) AS n FROM decl GROUP BY project) SELECT key, n, row_number() OVER (ORDER BY n DESC, key DESC) AS place FROM g")
+def decl_group_order(spark, d):
+    """Groups by count, of equal counts the later key first; the order is part of the rows."""
+    return display.placed(declarations.group(declared(spark, d), "project"), F.desc("n"), F.desc("key"))
+
+
 def _group(by: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return declarations.group(declared(spark, d), by)
@@ -475,30 +519,30 @@ loaded AS (SELECT DISTINCT type_key FROM walk)"""
 SLICE = " SELECT t.file, t.name, t.type_key, CAST(t.type_key IN (SELECT type_key FROM loaded) AS INTEGER) AS loaded FROM types t WHERE lower(t.file) IN (SELECT lower(file) FROM types JOIN loaded USING (type_key))"
 
 
-def _closed(spark: SparkSession, d: str, keys: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    decl = declared(spark, d)
-    found = [r.type_key for r in keys(decl).select("type_key").distinct().collect()]  # seeds are what a user names: a directory's services, an operation's owners
-    return closure.close(decl, F.col("type_key").isin(found) if found else F.lit(False))
-
-
 @query(CLOSURE.replace("{seeds}", "type_key IN (SELECT type_key FROM services) AND lower(file) LIKE 'code/area3/%'") + SLICE)
 def closure_scope(spark, d):
-    return _closed(spark, d, lambda t: closure.scope_seeds(t, "Code\\Area3"))[0].select("file", "name", "type_key", "loaded")
+    decl = declared(spark, d)
+    return closure.close(decl, closure.scope_seeds(decl, "Code\\Area3"))[0].select("file", "name", "type_key", "loaded")
 
 
-@query(CLOSURE.replace("{seeds}", "type_key IN (SELECT type_key FROM services) AND lower(file) LIKE 'code/area3/%'") + " SELECT file, line, name, container FROM decl WHERE kind NOT IN ('class', 'interface', 'struct', 'record') AND container IN (SELECT type_key FROM loaded)")
+@query(CLOSURE.replace("{seeds}", "type_key IN (SELECT type_key FROM services) AND lower(file) LIKE 'code/area3/%'") + " SELECT file, line, name, container, row_number() OVER (ORDER BY file, line, ord) AS place FROM decl WHERE kind NOT IN ('class', 'interface', 'struct', 'record') AND container IN (SELECT type_key FROM loaded)")
 def closure_members(spark, d):
-    return _closed(spark, d, lambda t: closure.scope_seeds(t, "Code/Area3/"))[2].select("file", "line", "name", "container")
+    """Members by file and line; the order is part of the rows."""
+    decl = declared(spark, d)
+    members = closure.close(decl, closure.scope_seeds(decl, "Code/Area3/"))[2]
+    return display.placed(members, "file", "line", "ord").select("file", "line", "name", "container", "place")
 
 
 @query(CLOSURE.replace("{seeds}", "type_key IN (SELECT container FROM decl WHERE kind = 'method' AND name IN ('Start', 'StartAction'))") + SLICE)
 def closure_symbol(spark, d):
-    return _closed(spark, d, lambda t: closure.operation_owners(t, "StartAction"))[0].select("file", "name", "type_key", "loaded")
+    decl = declared(spark, d)
+    return closure.close(decl, closure.operation_seeds(decl, "StartAction"))[0].select("file", "name", "type_key", "loaded")
 
 
 @query(CLOSURE.replace("{seeds}", "lower(file) = 'code/area4/area4.designer.cs'") + SLICE)
 def closure_file(spark, d):
-    return closure.close(declared(spark, d), F.lower("file") == "code/area4/area4.designer.cs")[0].select("file", "name", "type_key", "loaded")
+    decl = declared(spark, d)
+    return closure.close(decl, closure.file_seeds(decl, "Code\\Area4\\area4.designer.cs"))[0].select("file", "name", "type_key", "loaded")
 
 
 # ---------------------------------------------------------------- policy
