@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -59,6 +60,10 @@ class Files:
     def rename(self, old: str, new: str) -> bool:
         return not self.exists(new) and self.fs.rename(self._path(old), self._path(new))
 
+    def age(self, path: str) -> float:
+        """Seconds since a file was written."""
+        return time.time() - self.fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 

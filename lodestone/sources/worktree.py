@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import is_text
+from ..functions.text import MAX_TEXT_BYTES, is_text
 
 MANIFEST = "path string, sha string"
 
@@ -40,10 +40,6 @@ def worktree_files(root: str) -> list[tuple[str, str]]:
     return sorted(files.items())
 
 
-def worktree_manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.createDataFrame(worktree_files(root), MANIFEST)
-
-
 def index_signature(root: str) -> str:
     """Time and size of git's index; follows the file that stands for .git in a secondary worktree."""
     git = os.path.join(root, ".git")
@@ -70,13 +66,21 @@ def decode_bytes(data: bytes | None) -> str | None:
         return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in data)
 
 
-def decoded(data: Column) -> Column:
-    """Text of a binary column; null for what isn't text."""
+#: Windows-1252 where it differs from Latin-1.
+_LATIN = "".join(chr(c) for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore"))
+_WINDOWS = "".join(bytes([c]).decode("cp1252", "ignore") for c in range(0x80, 0xA0))
 
-    def run(x: bytes | None) -> str | None:
-        return decode_bytes(x)
 
-    return F.when(is_text(data), F.udf(run, StringType(), useArrow=True)(data))
+def decoded(data: Column) -> Column:
+    """Text of a binary column; null for what isn't text. By its mark, else UTF-8 if it is valid, else Windows-1252; Python sees UTF-16 alone."""
+    utf16 = F.substring(data, 1, 2).isin(F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF")))
+    utf8 = data.cast("string")
+    wide = F.udf(decode_bytes, StringType(), useArrow=True)(F.when(utf16, data))
+    text = (
+        F.when(F.substring(data, 1, 3) == F.unhex(F.lit("EFBBBF")), F.make_valid_utf8(F.substring(data, 4, MAX_TEXT_BYTES).cast("string"))).when(utf16, wide)
+        .when(F.is_valid_utf8(utf8), utf8).otherwise(F.translate(F.decode(data, "ISO-8859-1"), _LATIN, _WINDOWS))
+    )
+    return F.when(is_text(data), text)
 
 
 def directory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
