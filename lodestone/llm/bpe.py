@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from .common import Memo, prepare
 
 #: Bytes that the memos of a Python worker may hold: of chunks, of pieces, of pairs of tokens.
-MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 120 << 20, 100 << 20, 60 << 20
+MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 80 << 20, 64 << 20, 40 << 20
 #: White space that both this module and the normaliser take as a separator.
 SEPARATORS = " \t\n\r"
 #: Chunks that need no normaliser but lower case: printable ASCII and the letters of Latin-1, none of which composes or depends on its neighbours.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_key, pack, prepare, stage, unpack
+from .common import doc_key, forget, pack, prepare, stage, unpack
 
 MIN_WORDS = 8
 _ODD = 0x9E3779B97F4A7C15
@@ -133,7 +133,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(k_id, k_hash, place) of every line to remove, and the packed documents (k_id, k_hash, packed)."""
+    """(k_id, k_hash, places: of all lines to remove; a row a document that has some), and the packed documents (k_id, k_hash, packed). What led there is
+    deleted."""
     lines = stage(_lines(docs), "lines")
     at = F.struct("k_id", "place", "k_hash")
     distinct = stage(lines.groupBy("l1", "l2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct")
@@ -179,15 +180,16 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = both.mapInArrow(verify, "k_id long, k_hash long, place int").select(at.alias("first"), F.lit(True).alias("near"))
     judged = distinct.select("l1", "l2", "first", "n").join(near, "first", "left").filter("n > 1 or near").drop("n")
     gone = lines.select("k_id", "k_hash", "place", "l1", "l2").join(judged, ["l1", "l2"]).filter(F.col("near").isNotNull() | (at != F.col("first")))
-    return gone.select("k_id", "k_hash", "place"), texts
+    places = stage(gone.groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places")), "removed-lines")
+    forget(lines, distinct, emitted)
+    return places, texts
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text (kept lines joined by a line feed; null stays null) for every row; n_lines counts lines with a word."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone, texts = removed_lines(docs)
-    places = gone.groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places"))
+    places, texts = removed_lines(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,8 +210,7 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs with all their columns; texts without the removed lines, n_chars (if there is such a column) of the new
     text. Rows that lose all their lines with words go; rows that never had one stay."""
     prepare(docs.sparkSession)
-    gone, _ = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    places = gone.groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places"))
+    places, _ = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), *doc_key()).join(places, ["k_id", "k_hash"], "left").select("row", F.col("row.text").cast("string").alias("text"), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

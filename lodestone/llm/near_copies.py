@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, prepare, stage
+from .common import doc_key, forget, prepare, stage
 from .simhash import components
 
 SHINGLE_WORDS = 5
@@ -48,6 +48,11 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n).view(np.int64))
 
 
+def short_key(hashes: np.ndarray) -> np.ndarray:
+    """The key of a list: half of the hash that the order doesn't come from. Shingles that meet by chance make candidates, which are verified."""
+    return hashes.astype(np.int32)
+
+
 def prefix_length(n: int) -> int:
     up, down = SIMILAR
     return n - -(-n * up // down) + 1 if n else 0
@@ -61,14 +66,14 @@ def _sets(docs: DataFrame, whole: bool = False, words: int = SHINGLE_WORDS) -> D
         for b in batches:
             found = [shingles(t, words) for t in b.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-            parts = found if whole else [s[: prefix_length(len(s))] for s in found]
+            parts = found if whole else [short_key(s[: prefix_length(len(s))]) for s in found]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            values = pa.array(np.concatenate([np.empty(0, np.int64), *parts]))
+            values = pa.array(np.concatenate([np.empty(0, np.int64 if whole else np.int32), *parts]))
             part = pa.ListArray.from_arrays(pa.array(offsets), values)
             yield pa.record_batch([b.column("k_id"), b.column("k_hash"), pa.array(nodes), pa.array([len(s) for s in found], pa.int64()), part], ["k_id", "k_hash", "node", "n", "part"])
 
     rows = docs.select(*doc_key(), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "k_id long, k_hash long, node long, n long, part array<long>")
+    return rows.mapInArrow(run, f"k_id long, k_hash long, node long, n long, part array<{'long' if whole else 'int'}>")
 
 
 def _possible() -> Column:
@@ -94,53 +99,80 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int)
     a, b = sets.select(F.col("node").alias("a"), F.col("part").alias("pa")), sets.select(F.col("node").alias("b"), F.col("part").alias("pb"))
     up, down = SIMILAR
     common = F.size(F.array_intersect("pa", "pb"))
-    return stage(pairs.join(a, "a").join(b, "b").filter((up + down) * common >= up * (F.size("pa") + F.size("pb"))).select("a", "b"), "verified")
+    out = stage(pairs.join(a, "a").join(b, "b").filter((up + down) * common >= up * (F.size("pa") + F.size("pb"))).select("a", "b"), "verified")
+    forget(pairs, sets)
+    return out
 
 
 def _labels(firsts: DataFrame, edges: DataFrame) -> DataFrame:
-    return firsts.select("node").join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-
-
-def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP) -> tuple[DataFrame, DataFrame]:
-    """(k_id, k_hash, node of all rows; node, label, k_id, k_hash (first row) of each distinct set)."""
-    rows = stage(_sets(docs, words=words), "shingle-prefixes")
-    nodes = stage(rows.groupBy("node").agg(F.min(F.struct("k_id", "k_hash")).alias("f"), F.first("n").alias("n"), F.first("part").alias("part")).select("node", "n", "f.*", "part"), "shingle-sets")
-    firsts = nodes.select("node", "k_id", "k_hash")
-    postings = nodes.select("node", "n", F.posexplode("part").alias("place", "key"))
-    common = stage(postings.groupBy("key").count().filter(F.col("count") > list_cap).select("key"), "common-shingles")
-    moved = stage(postings.join(common, "key", "left_semi").select("node").distinct(), "moved")
+    """node, label of every set; staged."""
+    found = components(edges)
+    out = stage(firsts.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labelled")
+    forget(found)
+    return out
+
+
+def _postings(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, words: int, list_cap: int) -> DataFrame:
+    """node, n, place (from 0), key: the prefixes of all sets, shingles of over list_cap sets' prefixes last in the order; staged."""
+    plain = nodes.select("node", "n", F.posexplode("part").alias("place", "key"))
+    common = stage(plain.groupBy("key").count().filter(F.col("count") > list_cap).select("key"), "common-shingles")
+    moved = stage(plain.join(common, "key", "left_semi").select("node").distinct(), "moved")
     # the sets that have some in their prefixes, whole: common shingles go last, and the prefixes are taken anew
     chosen = firsts.join(moved, "node", "left_semi").select("k_id", "k_hash")
     texts = docs.select("doc_id", "text", *doc_key()).join(chosen, ["k_id", "k_hash"], "left_semi").select("doc_id", "text")
-    single = _sets(texts, whole=True, words=words).select("node", "n", F.explode("part").alias("key"))
-    flagged = single.join(common.withColumn("late", F.lit(1)), "key", "left").select("node", "n", F.struct(F.coalesce("late", F.lit(0)).alias("late"), "key").alias("s"))
+    low = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
+    key = F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
+    single = _sets(texts, whole=True, words=words).select("node", "n", F.explode("part").alias("h")).withColumn("key", key)
+    flagged = single.join(common.withColumn("late", F.lit(1)), "key", "left").select("node", "n", F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h", "key").alias("s"))
     up, down = SIMILAR
     length = F.expr(f"cast(n - (n * {up} + {down - 1}) div {down} + 1 as int)")
     again = flagged.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("s")).alias("s")).select("node", "n", F.posexplode(F.slice("s", F.lit(1), length)["key"]).alias("place", "key"))
-    postings = stage(postings.join(moved, "node", "left_anti").select("node", "n", "place", "key").union(again), "prefix-postings")
+    out = stage(plain.join(moved, "node", "left_anti").select("node", "n", "place", "key").union(again), "prefix-postings")
+    forget(common, moved)
+    return out
+
+
+def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP) -> DataFrame:
+    """node, label, k_id, k_hash (first row) of each distinct set; staged. All else that is written on the way is deleted."""
+    rows = stage(_sets(docs, words=words), "shingle-prefixes")
+    nodes = stage(rows.groupBy("node").agg(F.min(F.struct("k_id", "k_hash")).alias("f"), F.first("n").alias("n"), F.first("part").alias("part")).select("node", "n", "f.*", "part"), "shingle-sets")
+    forget(rows)
+    firsts = stage(nodes.select("node", "k_id", "k_hash"), "firsts")
+    postings = _postings(docs, nodes, firsts, words, list_cap)
+    forget(nodes)
     sizes = postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stage(postings.join(sizes, "key"), "shared-shingles")
+    forget(postings)
     named = lambda t, c: t.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), (F.col("place") + 1).alias(f"p{c}"))
     short, long = shared.filter(F.col("m") <= list_cap), shared.filter(F.col("m") > list_cap)
     x, y = named(short, "x"), named(short, "y")
-    edges = _verified(docs, firsts, _ordered(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & _possible())), words)
+    parts = [_verified(docs, firsts, _ordered(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & _possible())), words)]
     if not long.isEmpty():
         # to the set of a list that has most after the shingle: what is mostly common shingles is similar to it
         hubs = named(long, "y").groupBy("key").agg(F.min(F.struct((F.col("py") / F.col("ny")).alias("share"), "y", "ny", "py")).alias("hub")).select("key", "hub.*")
-        edges = edges.union(_verified(docs, firsts, _ordered(named(long, "x").join(hubs, "key").filter(_possible())), words))
-        in_lists = stage(named(long, "x").join(_labels(firsts, edges).withColumnRenamed("node", "x"), "x"), "long-lists")
+        parts.append(_verified(docs, firsts, _ordered(named(long, "x").join(hubs, "key").filter(_possible())), words))
+        so_far = _labels(firsts, parts[0].union(parts[1]))
+        in_lists = stage(named(long, "x").join(so_far.withColumnRenamed("node", "x"), "x"), "long-lists")
         shares = in_lists.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", F.col("most.label").alias("main"))
         mixed = in_lists.join(shares, "key")
         other = mixed.filter("label <> main").select(F.col("key").alias("key_y"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("label").alias("label_y"))
         pairs = mixed.join(other, (F.col("key") == F.col("key_y")) & (F.col("label") != F.col("label_y")) & _possible())
-        edges = edges.union(_verified(docs, firsts, _ordered(pairs), words))
-    return rows.select("k_id", "k_hash", "node"), firsts.join(_labels(firsts, edges), "node")
+        parts.append(_verified(docs, firsts, _ordered(pairs), words))
+        forget(so_far, in_lists)
+    edges = parts[0]
+    for p in parts[1:]:
+        edges = edges.union(p)
+    labels = _labels(firsts, edges)
+    out = stage(firsts.join(labels, "node"), "near-groups")
+    forget(shared, firsts, labels, *parts)
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their component of near copies by id (null ids before others) and a
     hash of the row; of rows that repeat id and text one."""
-    _, labelled = groups(docs, words, list_cap)
-    first = labelled.groupBy("label").agg(F.min(F.struct("k_id", "k_hash")).alias("first")).select("first.*")
+    found = groups(docs, words, list_cap)
+    first = stage(found.groupBy("label").agg(F.min(F.struct("k_id", "k_hash")).alias("first")).select("first.*"), "kept-rows")
+    forget(found)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *doc_key()).join(first, ["k_id", "k_hash"], "left_semi")
     return rows.dropDuplicates(["k_id", "k_hash"]).select("row.*")

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import doc_key, forget, stage
 
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -161,6 +161,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     rows = ratios.groupBy("lang").agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= least).collect()
     counts = {r["lang"]: (r["n"], {rule: [r[f"{rule}_{i}"] for i in range(len(GRID))] for rule in RULES}) for r in sorted(rows)}
     if not counts:
+        forget(ratios)
         return {}
     # A set's cutoffs as an array of four a language and step; beyond any ratio where the rule is off.
     steps = [(g, k, [GRID[i] if i < len(GRID) else float("inf") for i in x]) for g in counts for k, x in enumerate(sequence(counts, g))]
@@ -169,6 +170,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     joint: dict[str, list[int]] = {}
     for r in ratios.join(sets, "lang").groupBy("lang", "step").agg(lost(over[0] | over[1] | over[2] | over[3]).alias("k")).orderBy("lang", "step").collect():
         joint.setdefault(r["lang"], []).append(r["k"])
+    forget(ratios)
     return choose(counts, risk, delta, joint)
 
 
@@ -201,9 +203,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. Texts are measured once: the rows are written with their measures, from which
-    the cutoffs come and then the verdicts."""
-    facts = F.struct(*_facts(docs)).alias("facts")
-    rows = stage(docs.select(F.struct(*docs.columns).alias("row"), facts), "measured-rows")
-    cut = cutoffs(rows.select("facts.*"), labels)
-    return rows.filter(kept(F.col("facts.m"), F.col("facts.lang"), cut)).select("row.*")
+    """The rows of docs that the rules keep, with all their columns. Texts are measured once: numbers are written, cutoffs and verdicts come from them, and
+    the rejected rows are left out by key (the row's id and a hash of id, text and lang, which decide its verdict)."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    k_id, k_hash = doc_key()
+    key = [k_id, F.xxhash64(k_hash, lang).alias("k_hash")]
+    measures = stage(docs.select(*key, *_facts(docs)), "measures")
+    cut = cutoffs(measures, labels)
+    bad = stage(measures.filter(~kept(F.col("m"), F.col("lang"), cut)).select("k_id", "k_hash").distinct(), "rejected")
+    forget(measures)
+    return docs.select(F.struct(*docs.columns).alias("row"), *key).join(bad, ["k_id", "k_hash"], "left_anti").select("row.*")
