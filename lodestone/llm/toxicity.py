@@ -1,14 +1,16 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 A word's vector is the sum of the embeddings of its hashed form and prefixes. Filters of several widths slide over
-the words of the whole text, each keeps its maximum, and a logistic layer weighs the maxima. The first
-embedding dimension is a hashed log-odds z-score of the training labels (for a training document without its own share), the others are learnt
-together with the filters by stochastic gradients. A calibration fold, apart from the gradient's, sets the scale so that 0.5 is the
-best cut, and a threshold for each language with enough labels; language never enters the score.
-
-Only rows whose crc32 of the id as text is not divisible by 5 teach; a documented bound holds for them: MAX_TRAIN rows by a hash of their id, of
-at most MAX_WORDS words each. Null and empty texts score as a text without words. Null ids are never held out and never taught
-from. Rows that repeat are scored alike. Without labels every score is the prior. Extra columns are not carried along.
+the words of the whole text, each keeps its maximum, and a logistic layer weighs the maxima. Embeddings, filters and weights start at random and are learnt
+together by stochastic gradients. A calibration fold, apart from the gradient's, sets the scale so that 0.5 is the
+best cut. Thresholds by language come from the scores of all labelled documents of that fold in the whole table, as histograms that are summed in Spark; language
+never enters the score.
+
+Only rows whose crc32 of the id as text is not divisible by 5 teach. The classifier is fitted on a bounded sample of them: MAX_TRAIN rows by a hash of their id,
+of texts of at most MAX_CHARS characters (longer ones teach nothing but count for the thresholds). Scores are of whole texts, SLICE words at a time.
+Null and empty texts score as a text without words. Null ids are never held out and never taught
+from. Rows that repeat are scored alike; of contradicting labels of an id the larger counts. A score of exactly 0.5, or of the threshold, is over it. Without
+labels every score is the prior. Empty tables give no rows. Extra columns are not carried along.
 """
 
 from __future__ import annotations
@@ -19,18 +21,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import forget, prepare, stage
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 PREFIXES = (3, 4, 5, 6)
-MAX_TRAIN, MAX_WORDS, EPOCHS, RATE, BATCH = 6000, 4000, 3, 0.02, 16
+MAX_TRAIN, MAX_CHARS, EPOCHS, RATE, EMBEDDING_RATE, BATCH = 6000, 32_000, 6, 0.02, 0.3, 16
 #: Labels that a language needs for a threshold of its own.
-LEAST_LABELS = 50
-#: Words memoised per Python worker; words of a text convolved at a time.
-MEMO_WORDS, SLICE = 400_000, 1 << 16
+LEAST_LABELS, BINS = 50, 1000
+#: Words, and characters of them, memoised per Python worker; words that are convolved at a time, and that are learnt together at most.
+MEMO_WORDS, MEMO_CHARS, SLICE, GROUP = 400_000, 8_000_000, 1 << 16, 1 << 18
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>_-"
 
 
@@ -81,19 +83,20 @@ class Scorer:
 
     def _reset(self) -> None:
         self.rows: dict[str, int] = {}
+        self.held = 0
         self.products = np.zeros((4096, self.across.shape[1]), np.float32)
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Products of all words of these texts that aren't known yet."""
-        if len(self.rows) > MEMO_WORDS:
+    def learn(self, words: set[str]) -> None:
+        """Products of all of these words that aren't known yet; there are GROUP at most."""
+        new = words - self.rows.keys()
+        size = sum(map(len, new))
+        if len(self.rows) + len(new) > MEMO_WORDS or self.held + size > MEMO_CHARS:
             self._reset()
-        new: set[str] = set()
-        for t in texts:
-            if t:
-                new.update(t.split())
-        words = sorted(new - self.rows.keys())
-        for k in range(0, len(words), SLICE):
-            part = words[k : k + SLICE]
+            new, size = words, sum(map(len, words))
+        self.held += size
+        ordered = sorted(new)
+        for k in range(0, len(ordered), SLICE):
+            part = ordered[k : k + SLICE]
             ids = np.full((len(part), len(PREFIXES) + 1), BUCKETS, np.int64)
             for i, w in enumerate(part):
                 found = buckets(w)
@@ -104,72 +107,80 @@ class Scorer:
             self.products[n : n + len(part)] = self.padded[ids].sum(1) @ self.across
             self.rows.update(zip(part, range(n, n + len(part)), strict=True))
 
-    def logit(self, text: str | None) -> float:
-        """Of a text whose words are known."""
-        words = (text or "").split()
+    def _pool(self, words: list[str], most: np.ndarray) -> None:
+        """Raises the maxima by the windows of known words."""
+        p = self.products[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        at = 0
+        for i, width in enumerate(WIDTHS):
+            n = len(p) - width + 1
+            if n > 0:
+                total = p[:n, at : at + FILTERS]
+                for j in range(1, width):
+                    total = total + p[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
+                mine = most[i * FILTERS : (i + 1) * FILTERS]
+                np.maximum(mine, total.max(0), out=mine)
+            at += width * FILTERS
+
+    def _logit(self, words: list[str], known: bool) -> float:
         if not words:
             return self.model.prior
-        index = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         most = np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32)
-        for k in range(0, len(index), SLICE):
-            p = self.products[index[k : k + SLICE + max(WIDTHS) - 1]]
-            at = 0
-            for i, width in enumerate(WIDTHS):
-                n = len(p) - width + 1
-                if n > 0:
-                    total = p[:n, at : at + FILTERS]
-                    for j in range(1, width):
-                        total = total + p[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
-                    np.maximum(most[i * FILTERS : (i + 1) * FILTERS], total.max(0), out=most[i * FILTERS : (i + 1) * FILTERS])
-                at += width * FILTERS
+        for k in range(0, len(words), SLICE):
+            part = words[k : k + SLICE + max(WIDTHS) - 1]
+            if not known:
+                self.learn(set(part))
+            self._pool(part, most)
         hidden = np.maximum(np.where(np.isfinite(most), most, 0) + self.model.bias, 0)
         return float(hidden @ self.model.out) + self.model.prior
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        self.learn(texts)
-        return np.array([self.logit(t) for t in texts])
+        out: list[float] = []
+        group: list[list[str]] = []
+
+        def finish() -> None:
+            self.learn(set().union(*group))
+            out.extend(self._logit(words, True) for words in group)
+            group.clear()
+
+        size = 0
+        for t in texts:
+            words = (t or "").split()
+            if size + len(words) > GROUP:
+                finish()
+                size = 0
+            if len(words) > GROUP:  # one of its own, learnt slice by slice
+                out.append(self._logit(words, False))
+            else:
+                group.append(words)
+                size += len(words)
+        finish()
+        return np.array(out)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.model.scale
         return 1 / (1 + np.exp(-np.clip(a * self.logits(texts) + b, -30, 30)))
 
 
-def _z(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
-    """Log-odds of a bucket among toxic and other documents over its standard error, scaled and clipped."""
-    a, b = np.maximum(a, 0) + 0.5, np.maximum(b, 0) + 0.5
-    odds = np.log(a / np.maximum(na - a + 1, 0.5)) - np.log(b / np.maximum(nb - b + 1, 0.5))
-    return np.clip(odds / np.sqrt(1 / a + 1 / b) / 4, -0.5, 2).astype(np.float32)
-
-
-def fit(texts: list[str], labels: list[int], folds: list[int], langs: list[str | None], seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], folds: list[int], seed: int = 7) -> Model:
     """folds: 0 for the gradient, 1 for calibration."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     embedding = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    for f, w in zip(filters, WIDTHS, strict=True):
-        f[:, 0, : FILTERS // 2] += 1 / w
     size = len(WIDTHS) * FILTERS
     model = Model(embedding, filters, np.zeros(size, np.float32), rng.normal(0.2, 0.05, size).astype(np.float32), -2.0)
     teach = [i for i in range(len(texts)) if folds[i] == 0]
     if not 0 < sum(labels[i] for i in teach) < len(teach):
-        embedding[:, 0] = 0
         p = (sum(labels) + 0.5) / (len(labels) + 1)
         model.prior, model.out = float(np.log(p / (1 - p))), np.zeros(size, np.float32)
         return model
     memo: dict[str, list[int]] = {}
     words = [[memo[w] if w in memo else memo.setdefault(w, buckets(w)) for w in texts[i].split()] for i in teach]
-    seen = [np.array(sorted({x for w in ws for x in w}), np.int64) for ws in words]
-    counts = np.zeros((2, BUCKETS), np.float32)
-    for i, s in zip(teach, seen, strict=True):
-        counts[labels[i], s] += 1
-    na, nb = float(sum(labels[i] for i in teach)), float(len(teach) - sum(labels[i] for i in teach))
-    own = {1: _z(counts[1] - 1, counts[0], na - 1, nb), 0: _z(counts[1], counts[0] - 1, na, nb - 1)}
-    embedding[:, 0] = 0
     flat = [(np.array([x for w in ws for x in w] or [0], np.int64), np.cumsum([0] + [len(w) for w in ws])) for ws in words]
     speed = [np.full_like(p, 1e-3) for p in (*filters, model.bias, model.out)]
     slow = np.full((BUCKETS,), 1e-2, np.float32)
-    heavy = min(4.0, nb / na)
+    bad = sum(labels[i] for i in teach)
+    heavy = min(4.0, (len(teach) - bad) / bad)
     for _ in range(EPOCHS):
         order = rng.permutation(len(teach))
         for k in range(0, len(order), BATCH):
@@ -181,9 +192,7 @@ def fit(texts: list[str], labels: list[int], folds: list[int], langs: list[str |
                 label = labels[teach[d]]
                 if not len(words[d]):
                     continue
-                values = embedding[ids]
-                values[:, 0] = own[label][ids]
-                total = np.concatenate([np.zeros((1, DIM), np.float32), np.cumsum(values, 0, dtype=np.float64).astype(np.float32)])
+                total = np.concatenate([np.zeros((1, DIM), np.float32), np.cumsum(embedding[ids], 0, dtype=np.float64).astype(np.float32)])
                 x = total[ends[1:]] - total[ends[:-1]]
                 pooled, where = np.zeros(size, np.float32), np.full(size, -1)
                 for i, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
@@ -210,10 +219,9 @@ def fit(texts: list[str], labels: list[int], folds: list[int], langs: list[str |
                 param -= RATE * (g / np.sqrt(v) + 1e-4 * param)
             model.prior -= RATE * prior_grad
             for ids, g in touched:
-                slow[ids] += float(g[1:] @ g[1:])
-                embedding[ids, 1:] -= RATE * 0.5 * g[1:] / np.sqrt(slow[ids])[:, None]
-    embedding[:, 0] = _z(counts[1], counts[0], na, nb)
-    _calibrate(model, texts, y, folds, langs)
+                slow[ids] += float(g @ g)
+                embedding[ids] -= EMBEDDING_RATE * g / np.sqrt(slow[ids])[:, None]
+    _calibrate(model, texts, y, folds)
     return model
 
 
@@ -228,7 +236,7 @@ def _best_cut(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
 
 
-def _calibrate(model: Model, texts: list[str], y: np.ndarray, folds: list[int], langs: list[str | None]) -> None:
+def _calibrate(model: Model, texts: list[str], y: np.ndarray, folds: list[int]) -> None:
     scorer = Scorer(model)
     use = [i for i in range(len(texts)) if folds[i] == 1] or list(range(len(texts)))
     logit, truth = scorer.logits([texts[i] for i in use]), y[use]
@@ -237,41 +245,75 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray, folds: list[int],
     cut = _best_cut(logit, truth)
     spread = max(0.1, float(logit[logit >= cut].mean() - cut))
     model.scale = (2 / spread, -2 * cut / spread)
-    score = scorer.scores([texts[i] for i in use])
-    for lang in sorted({langs[i] for i in use if langs[i]}):
-        mine = np.array([langs[i] == lang for i in use])
-        if mine.sum() >= LEAST_LABELS and 0 < truth[mine].sum() < mine.sum():
-            model.thresholds[lang] = _best_cut(score[mine], truth[mine])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """docs: doc_id, text, lang. labels: doc_id, toxic; of contradicting labels of one id the larger counts."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold).filter("fold <> 0")
+    """docs: doc_id, text, lang. labels: doc_id, toxic."""
+    taught = _taught(labels)
     picked = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     joined = docs.join(F.broadcast(picked), "doc_id")  # at most max_train rows of three numbers
-    rows = joined.filter(F.length("text") <= MAX_WORDS * 8).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train).collect()
-    return fit([r.text for r in rows], [r.toxic for r in rows], [int(r.fold == 4) for r in rows], [r.lang for r in rows])
+    rows = joined.filter(F.length("text") <= MAX_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train).collect()
+    return fit([r.text for r in rows], [r.toxic for r in rows], [int(r.fold == 4) for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, and flagged: the score reaches the threshold of the row's language."""
-    prepare(docs.sparkSession)
-    thresholds = model.thresholds
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def _taught(labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", _fold()).filter("fold <> 0")
+
+
+def _scores(docs: DataFrame, model: Model, carried: dict[str, str]) -> DataFrame:
+    """The carried columns of docs, and score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            s = scorer.scores(b.column("text").to_pylist()).tolist()
-            cut = [thresholds.get(g, 0.5) for g in b.column("lang").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([x >= c for x, c in zip(s, cut, strict=True)], pa.bool_())], ["doc_id", "held_out", "score", "predicted", "flagged"])
+            yield pa.record_batch([*map(b.column, carried), pa.array(scorer.scores(b.column("text").to_pylist()), pa.float64())], [*carried, "score"])
+
+    return docs.select(*carried, "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in carried.items()) + ", score double")
+
+
+def language_thresholds(docs: DataFrame, labels: DataFrame, model: Model) -> dict[str, float]:
+    """Language → the score from which its calibration fold is classified best (F1), over all labelled documents of that fold. BINS rows a language with
+    LEAST_LABELS labels come to the driver."""
+    scored = _scores(docs.filter((_fold() == 4) & F.col("lang").isNotNull()), model, {"doc_id": "long", "lang": "string"})
+    binned = scored.groupBy("doc_id", "lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    bins = stage(binned.join(_taught(labels).filter("fold = 4"), "doc_id").groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("toxic")).alias("bad")), "bins")
+    enough = bins.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad")).filter(f"all >= {LEAST_LABELS} and all_bad > 0 and all_bad < all")
+    table: dict[str, list[tuple[int, int, int]]] = {}
+    for r in bins.join(enough.select("lang"), "lang").orderBy("lang", "bin").collect():
+        table.setdefault(r.lang, []).append((r.bin, r.n, r.bad))
+    forget(bins)
+    return {lang: best_bin(rows) / BINS for lang, rows in table.items()}
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text", "lang").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, flagged boolean")
+
+def best_bin(rows: list[tuple[int, int, int]]) -> int:
+    """rows: bin, documents, bad ones. The bin from which on the F1 is best; of equal ones the highest."""
+    total, taken, hits, best = sum(b for _, _, b in rows), 0, 0, (-1.0, 0)
+    for at, n, bad in sorted(rows, reverse=True):
+        taken, hits = taken + n, hits + bad
+        best = max(best, (2 * hits / (taken + total), at))
+    return best[1]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted, and flagged: the score reaches the threshold of the row's language."""
+    prepare(docs.sparkSession)
+    held = F.coalesce(_fold() == 0, F.lit(False))
+    rows = _scores(docs.withColumn("held_out", held), model, {"doc_id": "long", "held_out": "boolean", "lang": "string"})
+    cut = F.lit(0.5)
+    if model.thresholds:
+        cut = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(model.thresholds.items()) for x in kv]), F.coalesce("lang", F.lit(""))), cut)
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= cut).alias("flagged"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     prepare(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    return score(docs, train(docs, labels, max_train))
+    model = train(docs, labels, max_train)
+    model.thresholds = language_thresholds(docs, labels, model)
+    return score(docs, model)
