@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, prepare
+from .common import Memo, prepare, slot
 
 #: Bytes that the memos of a Python worker may hold: of chunks, of pieces, of pairs of tokens.
-MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 80 << 20, 64 << 20, 40 << 20
+MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 64 << 20, 56 << 20, 32 << 20
 #: White space that both this module and the normaliser take as a separator.
 SEPARATORS = " \t\n\r"
 #: Chunks that need no normaliser but lower case: printable ASCII and the letters of Latin-1, none of which composes or depends on its neighbours.
@@ -178,9 +177,8 @@ class PrefixBpe:
         return " ".join(self.texts[np.frombuffer(ids, "<u4")].tolist())
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> PrefixBpe:
-    return PrefixBpe(path)
+    return slot(("bpe", path), lambda: PrefixBpe(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:

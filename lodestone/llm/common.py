@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -94,6 +95,26 @@ def unpack(data: bytes | None, tool=zstandard.ZstdDecompressor()) -> str | None:
     return None if data is None else tool.decompress(data).decode("utf-8", "surrogatepass")
 
 
+_slot: list = [None, None]
+
+
+def slot(key, make=None):
+    """What this Python worker keeps from task to task: one object. Another key drops it, so a worker that Spark reuses for another operator doesn't carry
+    the first one's memory; key None just drops."""
+    if _slot[0] != key:
+        _slot[:] = [None, None]
+        gc.collect()
+        if key is not None:
+            _slot[:] = [key, make()]
+    return _slot[1]
+
+
+def tidy(spark: SparkSession) -> None:
+    """After a long step: dropped plans are collected on the driver, and with them Spark removes their shuffle files and broadcasts on all executors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Memo(dict):
     """A memo bounded by bytes. It has two generations: what was used since the last turn stays, the rest goes when half of the bound is full,
     so frequent keys outlive rare ones. An entry weighs `each` bytes and, if sized, what its key (text) and its value (bytes) hold."""

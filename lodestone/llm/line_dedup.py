@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_key, forget, pack, prepare, stage, unpack
+from .common import doc_key, forget, pack, prepare, slot, stage, tidy, unpack
 
 MIN_WORDS = 8
 _ODD = 0x9E3779B97F4A7C15
@@ -119,6 +119,7 @@ def _split(text: str | None) -> list[list[bytes]]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             rows, place, l1, l2, keys = [], [], [], [], []
             for k, text in enumerate(b.column("text").to_pylist()):
@@ -144,12 +145,14 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = roles.groupBy("k_id", "k_hash").agg(F.collect_list(F.struct("place", "roles")).alias("wanted"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             yield pa.record_batch([b.column("k_id"), b.column("k_hash"), pa.array([pack(t) for t in b.column("text").to_pylist()], pa.binary())], ["k_id", "k_hash", "packed"])
 
     texts = docs.select(*doc_key(), "text").mapInArrow(packed, "k_id long, k_hash long, packed binary")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             rows, place, key, role, text = [], [], [], [], []
             for k, (data, found) in enumerate(zip(b.column("packed").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
@@ -173,6 +176,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = pairs.join(text, ["k_id", "k_hash", "place"]).join(text.select(F.struct("k_id", "place", "k_hash").alias("partner"), F.col("line").alias("other")), "partner")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             ok = pa.array([within_one(x.split(" "), y.split(" ")) for x, y in zip(b.column("line").to_pylist(), b.column("other").to_pylist(), strict=True)], pa.bool_())
             yield b.select(["k_id", "k_hash", "place"]).filter(ok)
@@ -182,6 +186,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = lines.select("k_id", "k_hash", "place", "l1", "l2").join(judged, ["l1", "l2"]).filter(F.col("near").isNotNull() | (at != F.col("first")))
     places = stage(gone.groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places")), "removed-lines")
     forget(lines, distinct, emitted)
+    tidy(docs.sparkSession)
     return places, texts
 
 
@@ -192,6 +197,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     places, texts = removed_lines(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             total, less, kept = [], [], []
             for data, drop in zip(b.column("packed").to_pylist(), b.column("places").to_pylist(), strict=True):
@@ -214,6 +220,7 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), *doc_key()).join(places, ["k_id", "k_hash"], "left").select("row", F.col("row.text").cast("string").alias("text"), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             kept, stay = [], []
             for text, drop in zip(b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, forget, prepare, stage
+from .common import doc_key, forget, prepare, slot, stage, tidy
 from .simhash import components
 
 SHINGLE_WORDS = 5
@@ -63,6 +63,7 @@ def _sets(docs: DataFrame, whole: bool = False, words: int = SHINGLE_WORDS) -> D
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             found = [shingles(t, words) for t in b.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
@@ -140,6 +141,7 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP
     firsts = stage(nodes.select("node", "k_id", "k_hash"), "firsts")
     postings = _postings(docs, nodes, firsts, words, list_cap)
     forget(nodes)
+    tidy(docs.sparkSession)
     sizes = postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stage(postings.join(sizes, "key"), "shared-shingles")
     forget(postings)
@@ -165,6 +167,7 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP
     labels = _labels(firsts, edges)
     out = stage(firsts.join(labels, "node"), "near-groups")
     forget(shared, firsts, labels, *parts)
+    tidy(docs.sparkSession)
     return out
 
 

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, forget, stage
+from .common import doc_key, forget, stage, tidy
 
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -210,6 +210,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = [k_id, F.xxhash64(k_hash, lang).alias("k_hash")]
     measures = stage(docs.select(*key, *_facts(docs)), "measures")
     cut = cutoffs(measures, labels)
+    tidy(docs.sparkSession)
     bad = stage(measures.filter(~kept(F.col("m"), F.col("lang"), cut)).select("k_id", "k_hash").distinct(), "rejected")
     forget(measures)
     return docs.select(F.struct(*docs.columns).alias("row"), *key).join(bad, ["k_id", "k_hash"], "left_anti").select("row.*")

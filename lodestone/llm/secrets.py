@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, forget, hash_sample, prepare, stage
+from .common import Memo, forget, hash_sample, prepare, slot, stage
 
 # The base patterns, their kinds in order and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -224,11 +224,13 @@ def train(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS) -> Formats:
     """Credentials from all documents, ordinary tokens from a bounded sample of them; of each label the TRAIN_VALUES with the least hashes."""
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             got = sorted({(k, v[:TRAIN_LENGTH]) for t in b.column("text").to_pylist() for k, v in credentials(t or "")})
             yield pa.record_batch([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], ["label", "value"])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             got = sorted({v[:TRAIN_LENGTH] for t in b.column("text").to_pylist() for v in ordinary_tokens(t or "")})
             yield pa.record_batch([pa.array(["ordinary"] * len(got), pa.string()), pa.array(got, pa.string())], ["label", "value"])
@@ -257,6 +259,7 @@ def scan(docs: DataFrame, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:
         return base, [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if judged[m[0]] and cover.spares(m.start(), m.end())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         judged = Memo(lambda token: b"1" if formats.found(token) else b"", MEMO_BYTES)
         show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
         for b in batches:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, forget, join_hot, prepare, stage
+from .common import doc_key, forget, join_hot, prepare, slot, stage, tidy
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
 #: Shingle hashes whose bits are counted at a time.
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.record_batch([b.column("doc_id"), b.column("k_id"), b.column("k_hash"), pa.array(fps.view(np.int64))], ["doc_id", "k_id", "k_hash", "fp"])
@@ -130,6 +131,7 @@ def _labelled(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, Da
     fps = stage(fingerprints(docs, words), "fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("k_id", "k_hash")).alias("first"), F.count("*").alias("copies")), "nodes")
     labels = components(links(nodes.select("fp"), max_bits))
+    tidy(docs.sparkSession)
     return fps, nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, join_hot, pack, prepare, stage, unpack
+from .common import doc_key, forget, join_hot, pack, prepare, slot, stage, tidy, unpack
 
 WINDOW, GRAM = 35, 8
 #: Contexts that one subtree holds, about; larger groups are built in parts.
@@ -121,6 +121,7 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             rows, found = [], []
             for k, text in enumerate(b.column("text").to_pylist()):
@@ -145,6 +146,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
     active = anchors.join(groups, "g").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "g", F.ceil(F.col("n") / group_cap).alias("parts")))).alias("found"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             yield pa.record_batch([b.column("k_id"), b.column("k_hash"), pa.array([pack(t) for t in b.column("text").to_pylist()], pa.binary())], ["k_id", "k_hash", "packed"])
 
@@ -152,6 +154,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row an anchor: the words of its windows, and a hash of these."""
+        slot(None)
         for b in batches:
             rows, key, same, first, last, words, parts = [], [], [], [], [], [], []
             for k, (data, found) in enumerate(zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True)):
@@ -165,6 +168,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
                 ["k_id", "k_hash", "key", "same", "lo", "hi", "words", "parts"],
             )
 
+    forget(anchors, groups)
+    tidy(docs.sparkSession)
     fields = "k_id long, k_hash long, lo int, hi int"
     leaves = stage(texts.mapInArrow(suffixes, "k_id long, k_hash long, key long, same long, lo int, hi int, words binary, parts long"), "suffixes")
 
@@ -190,6 +195,7 @@ def _by_group(build: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable
     """Rows come sorted by key; build gets whole groups, BUILD_ROWS or more rows of them but at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
@@ -233,6 +239,7 @@ def _in_parts(leaves: DataFrame, window: int) -> DataFrame:
     deep_leaves = leaf.groupBy("same").agg(F.max("n").alias("n"), F.collect_set("offset").alias("offsets"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             got = [_runs(np.sort(np.array(x))) for x in b.column("offsets").to_pylist()]
             ends = pa.array(np.cumsum([0] + [len(g) for g in got]).astype(np.int32))
@@ -258,6 +265,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     spans = runs.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             gone, shas, at = [], [], []
             for data, found in zip(b.column("packed").to_pylist(), b.column("runs").to_pylist(), strict=True):
@@ -279,6 +287,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     changed = texts.select("k_id", "k_hash", "packed").join(spans, ["k_id", "k_hash"]).mapInArrow(cut, "k_id long, k_hash long, n_removed long, kept_sha256 string, spans string").dropDuplicates(["k_id", "k_hash"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         for b in batches:
             words = [_words(t) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("k_id"), b.column("k_hash"), b.column("doc_id"), pa.array(map(len, words), pa.int64()), pa.array([_sha(w) for w in words], pa.string())], ["k_id", "k_hash", "doc_id", "n_words", "sha"])

@@ -19,13 +19,12 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, slot
 
 MARK, RANK_SHIFT, BYTE_SCORE = "▁", 10.0, -24.0
 #: Nodes of a worker's trie (about 180 bytes each, with the terminal counts), and characters of a word that get nodes.
@@ -107,9 +106,8 @@ class UnigramTrie:
         return len(words), total
 
 
-@lru_cache(maxsize=2)
 def trie(model_path: str) -> UnigramTrie:
-    return UnigramTrie(model_path)
+    return slot(("unigram", model_path), lambda: UnigramTrie(model_path))
 
 
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:

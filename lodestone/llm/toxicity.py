@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, prepare, stage
+from .common import forget, prepare, slot, stage
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 PREFIXES = (3, 4, 5, 6)
@@ -269,6 +269,7 @@ def _scores(docs: DataFrame, model: Model, carried: dict[str, str]) -> DataFrame
     """The carried columns of docs, and score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
         scorer = Scorer(model)
         for b in batches:
             yield pa.record_batch([*map(b.column, carried), pa.array(scorer.scores(b.column("text").to_pylist()), pa.float64())], [*carried, "score"])
