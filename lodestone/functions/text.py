@@ -58,6 +58,12 @@ def all_lines(text: Column) -> Column:
     return F.transform(parts, lambda x: F.regexp_replace(x, "\r$", ""))
 
 
+def runtime_lines(text: Column) -> Column:
+    """Number of lines as a line reader counts them: cut at line feeds, carriage returns and both together, none after a last one."""
+    cut = F.regexp_count(text, F.lit(r"\r\n|\r|\n"))
+    return F.when(text == "", 0).otherwise(cut + F.when(text.rlike(r"(?s)[\r\n]\z"), 0).otherwise(1)).cast("int")
+
+
 def clean_cell(text: Column) -> Column:
     """Fit for a tab-separated cell: tabs and line feeds are spaces, carriage returns go."""
     return F.translate(text, "\t\n\r", "  ")

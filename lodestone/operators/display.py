@@ -39,15 +39,28 @@ def capped(df: DataFrame, order: list[str], most: int = MAX_RESULTS) -> DataFram
     return placed(df.orderBy(*order).limit(most), *order).crossJoin(F.broadcast(total))  # one row
 
 
-def grouped_by_file(found: DataFrame) -> list[str]:
-    """Lines for a person: a file, its declarations by line, a footer. Takes what `capped` gives."""
+def grouped_by_file(shown: DataFrame) -> list[str]:
+    """Lines for a person: a file with its project, its declarations by line, a footer. Takes what `capped` gives of declarations with `shown`."""
     out, file = [], None
-    rows = found.orderBy("place").collect()  # capped
+    rows = shown.orderBy("place").collect()  # capped
     for r in rows:
         if r.file != file:
-            out.append(r.file)
+            out += ["", f"=== {r.file}  [{r.project}]"]
             file = r.file
-        out.append(f"  {r.line}: {r.kind} {r.shown}")
+        out.append(f"  line {r.line:<5} {r.kind:<10} {r.modifiers:<18} {r.shown}  {r.signature}   in {r.container}".rstrip())
     hidden = rows[0].hidden if rows else 0
-    out.append(f"{len(rows) + hidden} declarations in {len({r.file for r in rows})} files shown" + (f", {hidden} hidden: narrow the filters" if hidden else ""))
+    out += ["", f"Total: {len(rows) + hidden} declarations"] + ([f"Shown: {len(rows)}. Narrow the search by kind, project, container or file."] if hidden else [])
+    return out
+
+
+def preview_text(name: str, rows: DataFrame) -> list[str]:
+    """Lines for a person: a title with the number of lines, head and tail with what lies between counted."""
+    found = rows.orderBy("line").collect()  # head and tail
+    total = found[0].n_lines if found else 0
+    out, last = [f"=== {name} ({total} lines) ===", ""], 0
+    for r in found:
+        if r.line != last + 1:
+            out += ["", f"--- [ {r.line - last - 1} lines left out ] ---", ""]
+        out.append(r.text)
+        last = r.line
     return out

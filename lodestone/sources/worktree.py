@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import MAX_TEXT_BYTES, is_text
+from ..functions.paths import not_excluded
+from ..functions.text import MAX_TEXT_BYTES, all_lines, excerpt, is_text
 
 MANIFEST = "path string, sha string"
 
@@ -89,6 +90,18 @@ def directory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select(F.regexp_replace(F.col("path"), r"^.*?\Q" + root.rstrip("/") + r"\E/", "").alias("path"), "content")
 
 
+def scan_directory(spark: SparkSession, root: str, symbol: str, glob: str = "*", depth: int | None = None) -> DataFrame:
+    """path, line, text: usages in a directory that is no checkout, read as it is. The word border is the regular expression's, over letters, digits and
+    underscores of any script. depth: levels of directories below the root that are looked into."""
+    files = directory(spark, root, glob).filter(not_excluded(F.col("path")))
+    if depth is not None:
+        files = files.filter(F.size(F.split("path", "/")) <= depth + 1)
+    lines = files.select("path", F.posexplode(all_lines(decoded(F.col("content")))).alias("line", "text"))
+    quoted = "\\Q" + symbol.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    found = F.contains("text", F.lit(symbol)) & F.col("text").rlike(rf"(?U)(?<![\w]){quoted}(?![\w])") if symbol else F.lit(False)
+    return lines.filter(found).select("path", (F.col("line") + 1).alias("line"), excerpt(F.col("text")).alias("text"))
+
+
 def find_root(start: str, markers: tuple[str, ...] = ("Applications", "Components"), explicit: str | None = None, variable: str = "CODE_ROOT") -> str | None:
     """The given root, else the nearest directory above that holds all markers, else what the environment names."""
     if explicit:
