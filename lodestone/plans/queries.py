@@ -15,6 +15,7 @@ from .. import csharp
 from ..functions import text as T
 from ..functions.paths import extension, not_excluded
 from ..operators import closure, corpus, declarations, display, events, intent, search
+from ..sources.index_files import parse_rows, rows_of, same_manifest, with_shas
 from ..sources.shared import kept
 from ..sources.worktree import decoded, virtual_files
 from . import cases
@@ -166,6 +167,26 @@ def path_filters(spark, d):
     return _files(spark, d).select("path", extension(F.col("path")).alias("ext"), not_excluded(F.col("path")).alias("kept"))
 
 
+@query(f"WITH {FILES}, t AS (SELECT path, replace(replace(replace(text, 'er', chr(13)), 'on', chr(13) || chr(10)), 'xx', '') AS t FROM files), c AS (SELECT *, len(regexp_extract_all(t, '\\r\\n|\\r|\\n')) AS n FROM t) SELECT path, CAST(CASE WHEN t = '' THEN 0 WHEN regexp_matches(t, '[\\r\\n]$') THEN n ELSE n + 1 END AS INTEGER) AS n_lines FROM c")
+def line_reader_counts(spark, d):
+    """Lines as a line reader counts them, over texts with all three kinds of line end."""
+    text = F.replace(F.replace(F.col("text"), F.lit("er"), F.lit("\r")), F.lit("on"), F.lit("\r\n"))
+    return _files(spark, d).select("path", T.runtime_lines(F.replace(text, F.lit("xx"), F.lit(""))).alias("n_lines"))
+
+
+@query(f"WITH {FILES}, m AS (SELECT sha, path FROM files), o AS (SELECT CASE WHEN path LIKE '%7.txt' THEN sha1(sha) ELSE sha END AS sha, path FROM m) SELECT (SELECT count(*) = 0 FROM (SELECT * FROM m EXCEPT SELECT * FROM m)) AS same, (SELECT count(*) = 0 FROM (SELECT * FROM m EXCEPT SELECT * FROM o)) AS same_changed, TRUE AS same_sources")
+def manifest_equality(spark, d):
+    m = _manifest(spark, d)
+    other = m.withColumn("sha", F.when(F.col("path").endswith("7.txt"), F.sha1("sha")).otherwise(F.col("sha")))
+    return spark.createDataFrame([(same_manifest(m, m), same_manifest(m, other), same_manifest(m, other, sources_only=True))], "same boolean, same_changed boolean, same_sources boolean")
+
+
+@query(f"WITH {FILES}, k AS (SELECT DISTINCT sha FROM files WHERE path LIKE 'src4/%') SELECT path, sha FROM files JOIN k USING (sha)")
+def manifest_by_shas(spark, d):
+    m = _manifest(spark, d)
+    return with_shas(m, m.filter("path like 'src4/%'")).select("path", "sha")
+
+
 HEAD = f"{BASE} SELECT f.path, l.line, l.text FROM alllines l JOIN files f USING (sha) WHERE l.n_lines > 0 AND (l.line <= 3 OR l.line > l.n_lines - 2)"
 
 
@@ -193,7 +214,6 @@ _usages("usages_include_deep", "de", None, ["*3.txt", "src7/**/es/*.txt", "src5/
 _usages("usages_accented_symbol", "ción")
 _usages("usages_partial_accented", "mente")
 _usages("usages_numeric_symbol", "168")
-_usages("usages_missing", "zzqqxx")
 _usages("usages_token", "token")
 
 
@@ -225,6 +245,11 @@ def usages_totals(spark, d):
     return search.usages(_lines(spark, d), _manifest(spark, d), "with").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
 
 
+@query(f"{BASE}, u AS (SELECT DISTINCT f.path, l.line FROM lines l JOIN files f USING (sha) WHERE {_word_sql('zzqqxx')}) SELECT 'zzqqxx' AS symbol, count(*) AS n FROM u")
+def usages_missing(spark, d):
+    return search.usages(_lines(spark, d), _manifest(spark, d), "zzqqxx").agg(F.lit("zzqqxx").alias("symbol"), F.count("*").alias("n"))
+
+
 def _rank_sql(terms: list[str], top: int, more: str = "") -> str:
     k = range(len(terms))
     tf = ", ".join(f"CAST(count(*) FILTER (WHERE {_word_sql(t)}) AS DOUBLE) AS tf{i}" for i, t in enumerate(terms))
@@ -401,6 +426,14 @@ def decl_lines(spark, d):
     return declared(spark, d).groupBy("file", "line").agg(F.count("*").alias("n"))
 
 
+@query(f"{DECL} SELECT kind, name, container, modifiers, attributes, bases, signature, line, file, project FROM decl WHERE line <> 9")
+def index_rows(spark, d):
+    """Rows of text, some of them short or without a number, read back as declarations."""
+    decl = declared(spark, d)
+    good = decl.select(F.when(F.col("line") == 9, F.lit("event\tbad\t\t\t\t\t\tnine\tf\tp")).otherwise(rows_of(decl)).alias("value"))
+    return parse_rows(good.union(decl.limit(50).select(F.concat_ws("\t", "kind", "name"))))
+
+
 @query("SELECT DISTINCT 'FEATURE_' || (s_nationkey % 3) AS symbol FROM supplier UNION SELECT 'OFF' FROM supplier")
 def preproc_symbols(spark, d):
     return sources(spark, d).select(F.explode(T.directive_symbols(F.col("text"))).alias("symbol")).distinct()
@@ -656,6 +689,16 @@ def policy_powershell(spark, d):
     return _decided(spark, _events(spark, d), _payload("PowerShell", command=_pick([c for c, _ in POWERSHELL]))).select("event_id", "decision")
 
 
+@query("SELECT event_id, 'src' || (user_id % 7) || '/f' || event_id || CASE WHEN event_id % 4 = 1 THEN '.ipynb' ELSE '.cs' END AS path FROM events WHERE event_id % 4 IN (0, 1)")
+def policy_edit_marks(spark, d):
+    """Paths of edit events: file_path, else notebook_path; others mark nothing."""
+    e = _events(spark, d)
+    name = F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string"), F.lit("/f"), F.col("event_id").cast("string"))
+    turn = F.col("event_id") % 4
+    payload = _payload("Edit", file_path=F.when(turn == 0, F.concat(name, F.lit(".cs"))), notebook_path=F.when(turn <= 1, F.concat(name, F.lit(".ipynb"))))
+    return events.edit_marks(e.select("event_id", payload))
+
+
 DENIED = '{"hookSpecificOutput":{"hookEventName":"PreToolUse","permissionDecision":"deny","permissionDecisionReason":"Grep \'@\' needs no regular expression: use usages(lines, manifest, \'@\') or find(decl, name=\'@\')"}}'.replace("'", "''")
 
 
