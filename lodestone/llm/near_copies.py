@@ -5,8 +5,10 @@ shingle). Two texts are near copies if their sets have a Jaccard similarity of a
 
 Candidates: under any one order of all shingles, two such sets share one among the first n - ceil(0.8 n) + 1 of each. Shingles are ordered by
 hash, those in over LIST_CAP sets' prefixes last, so that common passages make no long lists unless they are most of a text; which these are stays a
-distributed table. Sets that share a shingle of their prefixes, at places and with sizes that leave room for enough others after it, are verified by their whole sets. Lists
-that are long all the same are linked to their least set first; then only sets outside a list's largest component are paired. No candidate is left out.
+distributed table. For a set that has some, more of the start of its order is looked at, all of it only where that isn't enough. Sets that share a shingle of their
+prefixes, at places and with sizes that leave room for enough others after it, are verified by their whole sets. Lists
+that are long all the same are linked to one of their sets first; then only sets outside a list's largest component are paired. No candidate is left out.
+Texts move twice at most, packed: of the sets with common shingles, and of the others that lists hold.
 
 Null texts count as empty, and texts without words are copies of each other. Sets are compared by 64-bit hashes of their shingles. Repeated rows are one
 set; texts of any length are taken whole. A similarity of exactly 0.8 counts. Empty tables give no rows.
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, forget, prepare, slot, stage, tidy
+from .common import doc_key, forget, pack, prepare, slot, stage, tidy, unpack
 from .simhash import components
 
 SHINGLE_WORDS = 5
@@ -48,18 +50,18 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n).view(np.int64))
 
 
-def short_key(hashes: np.ndarray) -> np.ndarray:
-    """The key of a list: half of the hash that the order doesn't come from. Shingles that meet by chance make candidates, which are verified."""
-    return hashes.astype(np.int32)
-
-
 def prefix_length(n: int) -> int:
     up, down = SIMILAR
     return n - -(-n * up // down) + 1 if n else 0
 
 
-def _sets(docs: DataFrame, whole: bool = False, words: int = SHINGLE_WORDS) -> DataFrame:
-    """k_id, k_hash, node (hash of the set), n (its size), part: its prefix in the order of hashes, or the whole set."""
+def _arrays(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def _prefixes(docs: DataFrame, words: int) -> DataFrame:
+    """k_id, k_hash, node (hash of the set), n (its size), part: its prefix in the order of hashes."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +69,36 @@ def _sets(docs: DataFrame, whole: bool = False, words: int = SHINGLE_WORDS) -> D
         for b in batches:
             found = [shingles(t, words) for t in b.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-            parts = found if whole else [short_key(s[: prefix_length(len(s))]) for s in found]
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            values = pa.array(np.concatenate([np.empty(0, np.int64 if whole else np.int32), *parts]))
-            part = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.record_batch([b.column("k_id"), b.column("k_hash"), pa.array(nodes), pa.array([len(s) for s in found], pa.int64()), part], ["k_id", "k_hash", "node", "n", "part"])
+            parts = _arrays([s[: prefix_length(len(s))] for s in found])
+            yield pa.record_batch([b.column("k_id"), b.column("k_hash"), pa.array(nodes), pa.array([len(s) for s in found], pa.int64()), parts], ["k_id", "k_hash", "node", "n", "part"])
 
     rows = docs.select(*doc_key(), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"k_id long, k_hash long, node long, n long, part array<{'long' if whole else 'int'}>")
+    return rows.mapInArrow(run, "k_id long, k_hash long, node long, n long, part array<long>")
+
+
+def _texts(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """node, packed: a text of each of the nodes; staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
+        for b in batches:
+            yield pa.record_batch([b.column("k_id"), b.column("k_hash"), pa.array([pack(t) for t in b.column("text").to_pylist()], pa.binary())], ["k_id", "k_hash", "packed"])
+
+    packed = docs.select(*doc_key(), F.col("text").cast("string").alias("text")).mapInArrow(run, "k_id long, k_hash long, packed binary")
+    return stage(packed.join(firsts.join(nodes, "node", "left_semi"), ["k_id", "k_hash"]).select("node", "packed"), label)
+
+
+def _sets(texts: DataFrame, words: int, reach: int | None = None) -> DataFrame:
+    """node, n, part of packed texts: the whole set, or the first `reach` prefixes of it in the order of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
+        for b in batches:
+            found = [shingles(unpack(t), words) for t in b.column("packed").to_pylist()]
+            parts = _arrays([s if reach is None else s[: reach * prefix_length(len(s)) + reach] for s in found])
+            yield pa.record_batch([b.column("node"), pa.array([len(s) for s in found], pa.int64()), parts], ["node", "n", "part"])
+
+    return texts.mapInArrow(run, "node long, n long, part array<long>")
 
 
 def _possible() -> Column:
@@ -90,13 +114,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough. firsts: node, k_id, k_hash of one row a set."""
+def _verified(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough. texts: node, packed."""
     pairs = stage(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = firsts.join(nodes, "node", "left_semi").select("k_id", "k_hash")
-    texts = docs.select("doc_id", "text", *doc_key()).join(rows, ["k_id", "k_hash"], "left_semi").select("doc_id", "text")
-    sets = stage(_sets(texts, whole=True, words=words).select("node", "part").dropDuplicates(["node"]), "sets")
+    sets = stage(_sets(texts.join(nodes, "node", "left_semi"), words).select("node", "part").dropDuplicates(["node"]), "sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("part").alias("pa")), sets.select(F.col("node").alias("b"), F.col("part").alias("pb"))
     up, down = SIMILAR
     common = F.size(F.array_intersect("pa", "pb"))
@@ -113,60 +135,71 @@ def _labels(firsts: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def _postings(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, words: int, list_cap: int) -> DataFrame:
-    """node, n, place (from 0), key: the prefixes of all sets, shingles of over list_cap sets' prefixes last in the order; staged."""
+def _late_last(sets: DataFrame, common: DataFrame) -> DataFrame:
+    """sets: node, n, part. node, n, length (of the prefix), part: shingles that aren't common, in order, then those that are."""
+    up, down = SIMILAR
+    length = F.expr(f"cast(n - (n * {up} + {down - 1}) div {down} + 1 as int)")
+    flagged = sets.select("node", "n", F.explode("part").alias("key")).join(common.withColumn("late", F.lit(1)), "key", "left")
+    grouped = flagged.groupBy("node").agg(F.first("n").alias("n"), F.collect_set(F.when(F.col("late").isNull(), F.col("key"))).alias("early"), F.collect_set(F.when(F.col("late") == 1, F.col("key"))).alias("late"))
+    return grouped.select("node", "n", length.alias("length"), F.sort_array("early").alias("early"), F.sort_array("late").alias("late"))
+
+
+def _postings(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, words: int, list_cap: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n, place (from 0), key: the prefixes of all sets, shingles of over list_cap sets' prefixes last in the order; node, packed: texts of the sets that
+    have such shingles); staged."""
     plain = nodes.select("node", "n", F.posexplode("part").alias("place", "key"))
     common = stage(plain.groupBy("key").count().filter(F.col("count") > list_cap).select("key"), "common-shingles")
     moved = stage(plain.join(common, "key", "left_semi").select("node").distinct(), "moved")
-    # the sets that have some in their prefixes, whole: common shingles go last, and the prefixes are taken anew
-    chosen = firsts.join(moved, "node", "left_semi").select("k_id", "k_hash")
-    texts = docs.select("doc_id", "text", *doc_key()).join(chosen, ["k_id", "k_hash"], "left_semi").select("doc_id", "text")
-    low = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))
-    key = F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
-    single = _sets(texts, whole=True, words=words).select("node", "n", F.explode("part").alias("h")).withColumn("key", key)
-    flagged = single.join(common.withColumn("late", F.lit(1)), "key", "left").select("node", "n", F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h", "key").alias("s"))
-    up, down = SIMILAR
-    length = F.expr(f"cast(n - (n * {up} + {down - 1}) div {down} + 1 as int)")
-    again = flagged.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("s")).alias("s")).select("node", "n", F.posexplode(F.slice("s", F.lit(1), length)["key"]).alias("place", "key"))
+    texts = _texts(docs, firsts, moved, "moved-texts")
+    tidy(docs.sparkSession)
+    start = stage(_late_last(_sets(texts, words, 2), common), "starts")
+    enough = start.filter(F.size("early") >= F.col("length")).select("node", "n", F.slice("early", F.lit(1), F.col("length")).alias("part"))
+    short = _sets(texts.join(start.filter(F.size("early") < F.col("length")).select("node"), "node", "left_semi"), words)
+    whole = _late_last(short, common).select("node", "n", F.slice(F.concat("early", "late"), F.lit(1), F.col("length")).alias("part"))
+    again = enough.union(whole).select("node", "n", F.posexplode("part").alias("place", "key"))
     out = stage(plain.join(moved, "node", "left_anti").select("node", "n", "place", "key").union(again), "prefix-postings")
-    forget(common, moved)
-    return out
+    forget(common, moved, start)
+    return out, texts
 
 
 def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP) -> DataFrame:
     """node, label, k_id, k_hash (first row) of each distinct set; staged. All else that is written on the way is deleted."""
-    rows = stage(_sets(docs, words=words), "shingle-prefixes")
+    spark = docs.sparkSession
+    rows = stage(_prefixes(docs, words), "shingle-prefixes")
     nodes = stage(rows.groupBy("node").agg(F.min(F.struct("k_id", "k_hash")).alias("f"), F.first("n").alias("n"), F.first("part").alias("part")).select("node", "n", "f.*", "part"), "shingle-sets")
     forget(rows)
     firsts = stage(nodes.select("node", "k_id", "k_hash"), "firsts")
-    postings = _postings(docs, nodes, firsts, words, list_cap)
+    postings, moved = _postings(docs, nodes, firsts, words, list_cap)
     forget(nodes)
-    tidy(docs.sparkSession)
+    tidy(spark)
     sizes = postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stage(postings.join(sizes, "key"), "shared-shingles")
     forget(postings)
+    others = _texts(docs, firsts, shared.select("node").distinct().join(moved.select("node"), "node", "left_anti"), "other-texts")
+    tidy(spark)
+    texts = moved.union(others)
     named = lambda t, c: t.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), (F.col("place") + 1).alias(f"p{c}"))
     short, long = shared.filter(F.col("m") <= list_cap), shared.filter(F.col("m") > list_cap)
     x, y = named(short, "x"), named(short, "y")
-    parts = [_verified(docs, firsts, _ordered(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & _possible())), words)]
+    parts = [_verified(texts, _ordered(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & _possible())), words)]
     if not long.isEmpty():
         # to the set of a list that has most after the shingle: what is mostly common shingles is similar to it
         hubs = named(long, "y").groupBy("key").agg(F.min(F.struct((F.col("py") / F.col("ny")).alias("share"), "y", "ny", "py")).alias("hub")).select("key", "hub.*")
-        parts.append(_verified(docs, firsts, _ordered(named(long, "x").join(hubs, "key").filter(_possible())), words))
+        parts.append(_verified(texts, _ordered(named(long, "x").join(hubs, "key").filter(_possible())), words))
         so_far = _labels(firsts, parts[0].union(parts[1]))
         in_lists = stage(named(long, "x").join(so_far.withColumnRenamed("node", "x"), "x"), "long-lists")
         shares = in_lists.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", F.col("most.label").alias("main"))
         mixed = in_lists.join(shares, "key")
         other = mixed.filter("label <> main").select(F.col("key").alias("key_y"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("label").alias("label_y"))
         pairs = mixed.join(other, (F.col("key") == F.col("key_y")) & (F.col("label") != F.col("label_y")) & _possible())
-        parts.append(_verified(docs, firsts, _ordered(pairs), words))
+        parts.append(_verified(texts, _ordered(pairs), words))
         forget(so_far, in_lists)
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.union(p)
     labels = _labels(firsts, edges)
     out = stage(firsts.join(labels, "node"), "near-groups")
-    forget(shared, firsts, labels, *parts)
+    forget(shared, firsts, labels, moved, others, *parts)
     tidy(docs.sparkSession)
     return out
 
