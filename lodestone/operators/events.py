@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import bind
 from ..functions.paths import ancestors, extension
 from ..shipping import ship
+from ..sources.shared import staged
 from . import intent
 from .shell import Unreadable, searches
 
@@ -26,7 +27,7 @@ CS_LINES, OTHER_LINES = 2000, 500
 BROAD_ROOTS = ("applications", "components")
 SKIPPED = ("bin", "obj", "node_modules", ".git", ".vs", "packages", "dist", "publish")
 LEVELS, ENTRIES = 4, 3000
-SEARCHED = "event_id long, ord int, kind string, tool string, pattern string, paths array<string>, recursive boolean, raw boolean, source boolean, base string"
+SEARCHED = "event_id long, cwd string, ord int, kind string, tool string, pattern string, paths array<string>, recursive boolean, raw boolean, source boolean, base string"
 
 
 # ---------------------------------------------------------------- payload
@@ -166,7 +167,7 @@ def code_targets(probes: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def shell_searches(events: DataFrame) -> DataFrame:
-    """events: event_id, command, windows. A row a search or listing, in the order in which they are judged."""
+    """events: event_id, cwd, command, windows. A row a search or listing, in the order in which they are judged."""
     ship(events.sparkSession)
 
     def one(command: str | None, windows: bool | None) -> list:
@@ -178,14 +179,16 @@ def shell_searches(events: DataFrame) -> DataFrame:
             return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"kind": pa.string(), "tool": pa.string(), "pattern": pa.string(), "paths": pa.list_(pa.string()), "recursive": pa.bool_(), "raw": pa.bool_(), "source": pa.bool_(), "base": pa.string()}
         for b in batches:
-            rows = [(i, k, s) for i, c, w in zip(*(b.column(n).to_pylist() for n in ("event_id", "command", "windows")), strict=True) for k, s in enumerate(one(c, w))]
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
-            types = {"kind": pa.string(), "tool": pa.string(), "pattern": pa.string(), "paths": pa.list_(pa.string()), "recursive": pa.bool_(), "raw": pa.bool_(), "source": pa.bool_(), "base": pa.string()}
+            rows = [(i, k, s) for i, (c, w) in enumerate(zip(b.column("command").to_pylist(), b.column("windows").to_pylist(), strict=True)) for k, s in enumerate(one(c, w))]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            columns = [b.column("event_id").take(at), b.column("cwd").take(at), pa.array([r[1] for r in rows], pa.int32())]
             columns += [pa.array([getattr(r[2], n) for r in rows], t) for n, t in types.items()]
-            yield pa.record_batch(columns, ["event_id", "ord", *types])
+            yield pa.record_batch(columns, ["event_id", "cwd", "ord", *types])
 
-    return events.select("event_id", "command", "windows").mapInArrow(run, SEARCHED)
+    # lines are short and parsing isn't: few input files shall not mean few tasks
+    return events.select("event_id", "cwd", "command", "windows").repartition("event_id").mapInArrow(run, SEARCHED)
 
 
 def grep_filter() -> Column:
@@ -211,8 +214,8 @@ def decide(events: DataFrame, tree: DataFrame, root: str, more_roots: tuple[str,
     raw = present("-A") | present("-B") | present("-C") | present("context") | truthy("-i") | truthy("multiline")
     greps = live.filter("tool = 'Grep'").select("event_id", F.lit(0).alias("ord"), F.lit("search").alias("kind"), F.lit("Grep").alias("tool"), pattern.alias("pattern"), F.array(path).alias("paths"), F.lit(True).alias("recursive"), raw.alias("raw"), grep_filter().alias("source"), "cwd")
     lines = live.filter("tool in ('Bash', 'PowerShell')").select("event_id", "cwd", text_of("command").alias("command"), (F.col("tool") == "PowerShell").alias("windows"))
-    shells = shell_searches(lines).join(lines.select("event_id", "cwd"), "event_id").withColumn("cwd", F.when(F.col("base").isNotNull(), resolved(F.col("base"), F.col("cwd"), home)).otherwise(F.col("cwd"))).drop("base")
-    every = greps.unionByName(shells.select(*greps.columns))
+    shells = shell_searches(lines).withColumn("cwd", F.when(F.col("base").isNotNull(), resolved(F.col("base"), F.col("cwd"), home)).otherwise(F.col("cwd"))).drop("base")
+    every = staged(greps.unionByName(shells.select(*greps.columns)), "searches")  # lines are parsed once
 
     listed = every.filter("kind = 'listing'").filter(broad_glob(F.col("pattern"))).filter(~bounded(F.get("paths", F.lit(0)), F.col("cwd"), root, home))
     denied = denied.union(listed.select("event_id", "ord", F.lit("listing"), "tool", "pattern", none, none, none))
