@@ -10,7 +10,7 @@ import subprocess
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import closure, corpus, declarations, display, search
@@ -58,10 +58,10 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _print(rows: DataFrame) -> int:
-    """Rows in the order of place, one at a time from the executors."""
+def _print(rows: DataFrame, order: tuple[str, ...], row: Column) -> int:
+    """Rows in an order, one partition at a time from the executors."""
     n = 0
-    for r in rows.orderBy("place").select("row").toLocalIterator():
+    for r in display.ordered(rows, order).select(row.alias("row")).toLocalIterator():
         print(r.row)
         n += 1
     return n
@@ -84,11 +84,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         found = search.usages(lines, manifest, args.symbol, args.scope, args.include)
         if args.no_text:
             found = found.withColumn("text", F.lit(None).cast("string"))
-        n = _print(display.usages_rows(found))
+        n = _print(found, display.USAGES, display.usages_row())
         say(f"{n} references in {found.select('path').distinct().count()} files")
         return 0
     if args.verb == "search":
-        n = _print(display.rank_rows(search.rank(lines, manifest, args.terms, args.scope, args.include, args.top)))
+        n = _print(search.rank(lines, manifest, args.terms, args.scope, args.include, args.top), display.RANKED, display.ranked_row())
         say(f"{n} files")
         return 0 if n else 3
     if args.verb == "summarize":
@@ -98,7 +98,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         seeds = closure.scope_seeds(decl, args.scope) if args.scope is not None else closure.operation_seeds(decl, args.symbol) if args.symbol else closure.file_seeds(decl, args.file)
         types, loaded, members = closure.close(decl, seeds)
         print("\t".join((*COLUMNS, "loaded")))
-        n, m = _print(display.closure_rows(types)), _print(display.closure_rows(members.withColumn("loaded", F.lit(1))))
+        n, m = (_print(t, display.CLOSURE, display.closure_row()) for t in (types, members.withColumn("loaded", F.lit(1))))
         say(f"types {n} (loaded {loaded.count()}), members {m}")
         return 0
     names = ("name", "container", "file", "project", "kind", "base", "attribute")
@@ -107,13 +107,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print("No declaration found.")
         return 3
     if args.group_by:
-        groups = display.placed(declarations.group(found, args.group_by, ignore_case=True), F.desc("n"), F.desc("key"))
+        groups = declarations.group(found, args.group_by, ignore_case=True)
         row = F.concat_ws("\t", F.col("n").cast("string"), "key") if args.raw else F.format_string("  %6d  %s", "n", "key")
-        _print(groups.select("place", row.alias("row")) if args.raw else groups.filter(F.col("place") <= args.max_results).select("place", row.alias("row")))
+        _print(groups if args.raw else groups.limit(args.max_results), ("-n", "-key"), row)
         if not args.raw:
             print(f"\nTotal: {found.count()} declarations in {groups.count()} {args.group_by}s")
     elif args.raw:
-        _print(display.placed(found, "file", "ord").select("place", F.concat_ws("\t", *[F.col(c).cast("string") for c in COLUMNS]).alias("row")))
+        _print(found, ("file", "ord"), F.concat_ws("\t", *[F.col(c).cast("string") for c in COLUMNS]))
     else:
         shown = display.capped(found.withColumn("shown", declarations.displayed()), ["file", "line", "ord"], args.max_results)
         print("\n".join(display.grouped_by_file(shown)))

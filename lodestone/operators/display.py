@@ -9,28 +9,40 @@ MAX_RESULTS, SHOWN_LINES = 200, 8
 
 
 def placed(df: DataFrame, *order: Column | str) -> DataFrame:
-    """With place, from 1, in that order. For answers: what a person or a program reads, not whole tables."""
+    """With place, from 1, in that order. One task numbers all rows: for answers of a size that a person looks at; what is only printed is sorted instead."""
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def usages_rows(usages: DataFrame) -> DataFrame:
-    """place, row: path, line and text between tabs, by path and line."""
-    return placed(usages, "path", "line").select("place", F.concat_ws("\t", "path", F.col("line").cast("string"), "text").alias("row"))
+#: Orders of answers.
+USAGES, RANKED, CLOSURE = ("path", "line"), ("-score", "path"), ("file", "line", "ord")
 
 
-def rank_rows(ranked: DataFrame, shown: int = SHOWN_LINES) -> DataFrame:
-    """place, row (path, score with two decimals, terms, lines), n_lines, shown: the first lines and how many more."""
+def ordered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """A distributed sort; a minus means descending."""
+    return df.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order])
+
+
+def usages_row() -> Column:
+    """Path, line and text (if it isn't null) between tabs."""
+    return F.concat_ws("\t", "path", F.col("line").cast("string"), "text")
+
+
+def ranked_row() -> Column:
+    """Path, score with two decimals, terms, lines."""
+    return F.concat_ws("\t", "path", F.format_string("%.2f", "score"), "terms", "lines")
+
+
+def first_lines(shown: int = SHOWN_LINES) -> Column:
+    """The first hit lines and how many more."""
     lines = F.split("lines", ",")
     more = F.size(lines) - shown
-    text = F.concat(F.array_join(F.slice(lines, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(""))
-    row = F.concat_ws("\t", "path", F.format_string("%.2f", "score"), "terms", "lines")
-    return placed(ranked, F.desc("score"), "path").select("place", row.alias("row"), F.size(lines).alias("n_lines"), text.alias("shown"))
+    return F.concat(F.array_join(F.slice(lines, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(""))
 
 
-def closure_rows(marked: DataFrame) -> DataFrame:
-    """place, row: the columns of a declaration and whether it is loaded, between tabs."""
+def closure_row() -> Column:
+    """The columns of a declaration and whether it is loaded, between tabs."""
     names = ("kind", "name", "container", "modifiers", "attributes", "bases", "signature", "line", "file", "project", "loaded")
-    return placed(marked, "file", "line", "ord").select("place", F.concat_ws("\t", *[F.col(c).cast("string") for c in names]).alias("row"))
+    return F.concat_ws("\t", *[F.col(c).cast("string") for c in names])
 
 
 def capped(df: DataFrame, order: list[str], most: int = MAX_RESULTS) -> DataFrame:

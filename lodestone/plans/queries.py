@@ -237,7 +237,8 @@ def usages_per_file_totals(spark, d):
 @query(f"{BASE}, u AS (SELECT DISTINCT f.path, l.line, {_excerpt_sql()} AS text FROM lines l JOIN files f USING (sha) WHERE {KEPT} AND {_word_sql('was')}) SELECT row_number() OVER (ORDER BY path, line) AS place, path || chr(9) || line || chr(9) || text AS row FROM u")
 def usages_printed(spark, d):
     """Rows as they are printed, by path and line; the order is part of the rows."""
-    return display.usages_rows(search.usages(_lines(spark, d), _manifest(spark, d), "was"))
+    found = display.placed(search.usages(_lines(spark, d), _manifest(spark, d), "was"), *display.USAGES)
+    return found.select("place", display.usages_row().alias("row"))
 
 
 @query(f"{BASE}, u AS (SELECT DISTINCT f.path, l.line FROM lines l JOIN files f USING (sha) WHERE {KEPT} AND {_word_sql('with')}) SELECT count(*) AS n, count(DISTINCT path) AS n_files FROM u")
@@ -281,7 +282,8 @@ _rank("rank_include_top", ["was", "license"], None, ["*7.txt"], 5, " AND f.path
 def rank_printed(spark, d):
     """Rows as they are printed, best first, with the eight first lines and the number of others."""
     found = search.rank(_lines(spark, d), _manifest(spark, d), ["token", "was", "license"], top=30)
-    return display.rank_rows(found)
+    rows = display.placed(found, F.desc("score"), "path")
+    return rows.select("place", display.ranked_row().alias("row"), F.size(F.split("lines", ",")).alias("n_lines"), display.first_lines().alias("shown"))
 
 
 # ---------------------------------------------------------------- C# declarations

@@ -69,10 +69,11 @@ class Files:
 
     def state(self, path: str) -> str:
         """Names, sizes and times of the files of a table."""
-        root = self._path(path)
-        each = [root] if self.fs.getFileStatus(root).isFile() else [s.getPath() for s in self.fs.listStatus(root)]
-        found = [self.fs.getFileStatus(p) for p in each]
-        return ";".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in found))
+        found, each = [], self.fs.listFiles(self._path(path), True)
+        while each.hasNext():
+            f = each.next()
+            found.append(f"{f.getPath().toUri().getPath()}:{f.getLen()}:{f.getModificationTime()}")
+        return ";".join(sorted(found))
 
 
 def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
