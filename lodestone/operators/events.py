@@ -267,3 +267,15 @@ def edit_marks(events: DataFrame) -> DataFrame:
     """event_id and path of what an event edits: file_path, else notebook_path."""
     path = F.coalesce(text_of("file_path"), text_of("notebook_path"))
     return parsed(events).select("event_id", path.alias("path")).filter("path is not null and path <> ''")
+
+
+def session_blocks(events: DataFrame, template: str, values: dict[str, str], notes: list[str], roots: list[str]) -> DataFrame:
+    """event_id, output: what a session in scope is told when it starts, as JSON; '' out of scope. template: a text with {{NAME}} for each of the values; notes (what is
+    missing on this machine) follow it."""
+    block = template
+    for name, value in values.items():
+        block = block.replace("{{" + name + "}}", value)
+    if notes:
+        block = block.rstrip() + "\n\n" + "\n".join(notes) + "\n"
+    told = F.to_json(F.struct(F.struct(F.lit("SessionStart").alias("hookEventName"), F.lit(block).alias("additionalContext")).alias("hookSpecificOutput")))
+    return parsed(events).select("event_id", F.when(in_scope(F.col("cwd"), roots), told).otherwise("").alias("output"))

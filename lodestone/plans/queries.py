@@ -701,6 +701,13 @@ def policy_edit_marks(spark, d):
     return events.edit_marks(e.select("event_id", payload))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN '' ELSE '{\"hookSpecificOutput\":{\"hookEventName\":\"SessionStart\",\"additionalContext\":\"Ask /store first.\\n\\nno git\\n\"}}' END AS output FROM events")
+def policy_session_start(spark, d):
+    at = F.when(F.col("event_id") % 3 == 0, cases.ROOT + "/Components").when(F.col("event_id") % 3 == 1, "/work/else")
+    e = _events(spark, d).select("event_id", F.to_json(F.struct(F.lit("SessionStart").alias("hook_event_name"), at.alias("cwd"))).alias("payload"))
+    return events.session_blocks(e, "Ask {{STORE}} first.\n", {"STORE": "/store"}, ["no git"], [cases.ROOT])
+
+
 DENIED = '{"hookSpecificOutput":{"hookEventName":"PreToolUse","permissionDecision":"deny","permissionDecisionReason":"Grep \'@\' needs no regular expression: use usages(lines, manifest, \'@\') or find(decl, name=\'@\')"}}'.replace("'", "''")
 
 
