@@ -3,8 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; docs are rows of `documents`. All but the last return the columns of
 documents. Stages: quality rules (rejected rows go), line dedup (texts lose lines that came earlier, rows that lose all
 their lines go), near-dedup (sets of five-word shingles with a Jaccard similarity of 0.8 or more are near copies; of each group the row with the least id
-stays), benchmark decontamination
-(contaminated rows go), BPE encoding and decoding.
+stays), benchmark decontamination (contaminated rows go), BPE encoding and decoding.
+
+Null and empty texts have too few words for the quality rules and go there. Rows that repeat are judged alike by the rules, lose the same lines, and one of them is left by
+near-dedup; of equal ids the row with the least hash of its text comes first. Texts of any length are taken whole. Extra columns are carried along up to the last stage. Empty
+tables give no rows; without labels only the base rules hold, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, decontaminate, line_dedup, near_copies, quality
-from lodestone.llm.common import stage, table
+from lodestone.llm.common import forget, stage, table
 from lodestone.llm.queries import tokenizer_path
 
 #: No SQL: the vocabulary, the SVD and the labelled thresholds can't be written in it. tests/llm holds each stage against brute force.
@@ -43,9 +46,12 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs, name)
+            if before is not None:
+                forget(before)  # what this stage has read
+            before = docs
     return docs
