@@ -30,10 +30,6 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def utf16_units(text: Column) -> Column:
-    return F.octet_length(F.encode(text, "UTF-16BE")) / 2
-
-
 def excerpt(text: Column, size: int = EXCERPT) -> Column:
     """Trimmed, at most `size` UTF-16 units, an ellipsis if cut; a pair of surrogates isn't cut in two."""
 
