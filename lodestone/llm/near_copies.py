@@ -85,7 +85,8 @@ def _texts(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, label: str) ->
             yield pa.record_batch([b.column("k_id"), b.column("k_hash"), pa.array([pack(t) for t in b.column("text").to_pylist()], pa.binary())], ["k_id", "k_hash", "packed"])
 
     packed = docs.select(*doc_key(), F.col("text").cast("string").alias("text")).mapInArrow(run, "k_id long, k_hash long, packed binary")
-    return stage(packed.join(firsts.join(nodes, "node", "left_semi"), ["k_id", "k_hash"]).select("node", "packed"), label)
+    # the same plan at every size: whatever the number of nodes, texts and keys are dealt out by key
+    return stage(packed.join(firsts.join(nodes, "node", "left_semi").hint("merge"), ["k_id", "k_hash"]).select("node", "packed"), label)
 
 
 def _sets(texts: DataFrame, words: int, reach: int | None = None) -> DataFrame:
@@ -145,19 +146,20 @@ def _late_last(sets: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, words: int, list_cap: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n, place (from 0), key: the prefixes of all sets, shingles of over list_cap sets' prefixes last in the order; node, packed: texts of the sets that
-    have such shingles); staged."""
-    plain = nodes.select("node", "n", F.posexplode("part").alias("place", "key"))
+    """(node, n, place, key: the prefixes of all sets, shingles of over list_cap sets' prefixes (late ones) last in the order; place: twice the place from 0, and one more
+    for late ones; node, packed: texts of the sets that have such shingles); staged."""
+    opened = lambda t: t.select("node", "n", F.posexplode("part").alias("at", "key")).select("node", "n", (F.col("at") * 2).alias("place"), "key")
+    plain = opened(nodes)
     common = stage(plain.groupBy("key").count().filter(F.col("count") > list_cap).select("key"), "common-shingles")
     moved = stage(plain.join(common, "key", "left_semi").select("node").distinct(), "moved")
     texts = _texts(docs, firsts, moved, "moved-texts")
     tidy(docs.sparkSession)
     start = stage(_late_last(_sets(texts, words, 2), common), "starts")
-    enough = start.filter(F.size("early") >= F.col("length")).select("node", "n", F.slice("early", F.lit(1), F.col("length")).alias("part"))
+    enough = start.filter(F.size("early") >= F.col("length")).select("node", "n", F.slice("early", F.lit(1), F.col("length")).alias("part"), F.col("length").alias("n_early"))
     short = _sets(texts.join(start.filter(F.size("early") < F.col("length")).select("node"), "node", "left_semi"), words)
-    whole = _late_last(short, common).select("node", "n", F.slice(F.concat("early", "late"), F.lit(1), F.col("length")).alias("part"))
-    again = enough.union(whole).select("node", "n", F.posexplode("part").alias("place", "key"))
-    out = stage(plain.join(moved, "node", "left_anti").select("node", "n", "place", "key").union(again), "prefix-postings")
+    whole = _late_last(short, common).select("node", "n", F.slice(F.concat("early", "late"), F.lit(1), F.col("length")).alias("part"), F.size("early").alias("n_early"))
+    again = enough.union(whole).select("node", "n", "n_early", F.posexplode("part").alias("at", "key")).select("node", "n", (F.col("at") * 2 + (F.col("at") >= F.col("n_early")).cast("int")).alias("place"), "key")
+    out = stage(opened(nodes.join(moved, "node", "left_anti")).union(again), "prefix-postings")
     forget(common, moved, start)
     return out, texts
 
@@ -178,20 +180,23 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, list_cap: int = LIST_CAP
     others = _texts(docs, firsts, shared.select("node").distinct().join(moved.select("node"), "node", "left_anti"), "other-texts")
     tidy(spark)
     texts = moved.union(others)
-    named = lambda t, c: t.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), (F.col("place") + 1).alias(f"p{c}"))
+    named = lambda t, c: t.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), (F.shiftright("place", 1) + 1).alias(f"p{c}"), (F.col("place") % 2).alias("late"))
     short, long = shared.filter(F.col("m") <= list_cap), shared.filter(F.col("m") > list_cap)
     x, y = named(short, "x"), named(short, "y")
-    parts = [_verified(texts, _ordered(x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & _possible())), words)]
+    parts = [_verified(texts, _ordered(x.join(y.drop("late"), (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & _possible())), words)]
     if not long.isEmpty():
         # to the set of a list that has most after the shingle: what is mostly common shingles is similar to it
         hubs = named(long, "y").groupBy("key").agg(F.min(F.struct((F.col("py") / F.col("ny")).alias("share"), "y", "ny", "py")).alias("hub")).select("key", "hub.*")
         parts.append(_verified(texts, _ordered(named(long, "x").join(hubs, "key").filter(_possible())), words))
         so_far = _labels(firsts, parts[0].union(parts[1]))
-        in_lists = stage(named(long, "x").join(so_far.withColumnRenamed("node", "x"), "x"), "long-lists")
+        # the first long list of a set in the order: two sets with the same one are paired there alone, all others that they share say nothing more
+        lead = named(long, "x").groupBy("x").agg(F.min(F.struct("late", "key")).alias("lead"))
+        in_lists = stage(named(long, "x").join(so_far.withColumnRenamed("node", "x"), "x").join(lead, "x").withColumn("lead", F.col("lead.key")), "long-lists")
         shares = in_lists.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", F.col("most.label").alias("main"))
         mixed = in_lists.join(shares, "key")
-        other = mixed.filter("label <> main").select(F.col("key").alias("key_y"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("label").alias("label_y"))
-        pairs = mixed.join(other, (F.col("key") == F.col("key_y")) & (F.col("label") != F.col("label_y")) & _possible())
+        other = mixed.filter("label <> main").select(F.col("key").alias("key_y"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("label").alias("label_y"), F.col("lead").alias("lead_y"))
+        once = (F.col("lead") != F.col("lead_y")) | (F.col("lead") == F.col("key"))
+        pairs = mixed.join(other, (F.col("key") == F.col("key_y")) & (F.col("label") != F.col("label_y")) & once & _possible())
         parts.append(_verified(texts, _ordered(pairs), words))
         forget(so_far, in_lists)
     edges = parts[0]

@@ -213,4 +213,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tidy(docs.sparkSession)
     bad = stage(measures.filter(~kept(F.col("m"), F.col("lang"), cut)).select("k_id", "k_hash").distinct(), "rejected")
     forget(measures)
-    return docs.select(F.struct(*docs.columns).alias("row"), *key).join(bad, ["k_id", "k_hash"], "left_anti").select("row.*")
+    return docs.select(F.struct(*docs.columns).alias("row"), *key).join(bad.hint("merge"), ["k_id", "k_hash"], "left_anti").select("row.*")
