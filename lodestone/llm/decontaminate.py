@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Statistics: document frequencies of hashed words over all passages of all documents. Index: a distributed randomised SVD of
-the TF-IDF vectors of the benchmark's passages and of a bounded sample of corpus passages gives a latent space; the benchmark's
-passages weigh as much as the sample. The items of the benchmark are put into clusters by their latent vectors. Search: every window of every document is projected
+the TF-IDF vectors of all passages of the benchmark and of all documents gives a latent space; the benchmark's
+passages together weigh twice what the corpus does. Texts are hashed once; what both passes of the SVD read are the stored buckets of the passages. The items of the benchmark are put into clusters by their latent vectors. Search: every window of every document is projected
 (items of up to SHORT words are looked for with shorter windows), and items whose cosine
 (latent inner product over the lengths of the full vectors) reaches a share of what the item has with itself are candidates. Windows meet the items of a
 cluster only if the length of the window's vector, and then the cluster's centre and radius, leave that possible: these bounds are exact, so retrieval finds what
@@ -20,7 +20,6 @@ not carried along by `decontaminate`; `keep_clean` keeps all.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, forget, hash_sample, prepare, slot, stage, tidy
+from .common import doc_key, forget, prepare, slot, stage, tidy
 
 BITS, PASSAGE = 14, 40
 BUCKETS = 1 << BITS
 RANK, OVERSAMPLE = 64, 16
-#: Bounds of what the latent space is fitted on: documents, passages of a document, items. Passages that a task sums, and rows of a matrix that travel together.
-SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_ITEMS, PART_PASSAGES, ROW_BLOCK = 400, 100, 1000, 4000, 2048
+#: Passages of a stored row and of a step of the sums; rows of a matrix that travel together.
+CELL_ROWS, CHUNK, ROW_BLOCK = 128, 2048, 256
+_SIGNS = np.random.default_rng(2).integers(0, 1 << 63, (BUCKETS + 1, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Items, and bytes of their texts, of a block.
 ITEM_BLOCK, BLOCK_BYTES = 8000, 32 << 20
 #: Words of a step, steps of a window and of one for items of up to SHORT words, share of an item's own cosine that makes a candidate.
@@ -123,31 +123,47 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Passages of all documents, and of each bucket the passages that have it."""
+def cells(rows: DataFrame) -> DataFrame:
+    """rows: text. cells (the sorted buckets of CELL_ROWS passages or fewer; a passage has PASSAGE places, empty ones are BUCKETS): all passages of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot(None)
-        counts, passages = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            cells = []
+            found = []
             for text in b.column("text").to_pylist():
                 ids = bucket(hashed(text)[0])
                 if len(ids):
-                    cell = np.full(-(-len(ids) // PASSAGE) * PASSAGE, BUCKETS, np.int32)
+                    cell = np.full(-(-len(ids) // PASSAGE) * PASSAGE, BUCKETS, np.uint16)
                     cell[: len(ids)] = ids
-                    cells.append(cell.reshape(-1, PASSAGE))
-            if cells:
-                cell = np.sort(np.concatenate(cells), axis=1)
-                passages += len(cell)
-                new = np.ones(cell.shape, bool)
-                new[:, 1:] = cell[:, 1:] != cell[:, :-1]
-                counts += np.bincount(cell[new], minlength=BUCKETS + 1)[:BUCKETS]
+                    found.append(cell.reshape(-1, PASSAGE))
+            if found:
+                cell = np.sort(np.concatenate(found), axis=1)
+                yield pa.record_batch([pa.array([cell[k : k + CELL_ROWS].tobytes() for k in range(0, len(cell), CELL_ROWS)], pa.binary())], ["cells"])
+
+    return rows.select("text").mapInArrow(run, "cells binary")
+
+
+def _opened(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("cells").to_pylist()), np.uint16).reshape(-1, PASSAGE)
+
+
+def document_frequencies(passages: DataFrame) -> tuple[int, np.ndarray]:
+    """passages: cells. How many there are, and of each bucket those that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot(None)
+        counts, n = np.zeros(BUCKETS, np.int64), 0
+        for b in batches:
+            cell = _opened(b)
+            n += len(cell)
+            new = np.ones(cell.shape, bool)
+            new[:, 1:] = cell[:, 1:] != cell[:, :-1]
+            counts += np.bincount(cell[new], minlength=BUCKETS + 1)[:BUCKETS]
         at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.concatenate([[-1], at]).astype(np.int32)), pa.array(np.concatenate([[passages], counts[at]]))], ["bucket", "n"])
+        yield pa.record_batch([pa.array(np.concatenate([[-1], at]).astype(np.int32)), pa.array(np.concatenate([[n], counts[at]]))], ["bucket", "n"])
 
     df, total = np.zeros(BUCKETS, np.float64), 0
-    for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket at most
+    for r in passages.select("cells").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket at most
         if r.bucket < 0:
             total = r.n
         else:
@@ -163,32 +179,60 @@ def _vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, (x / size if size else x).astype(np.float32)
 
 
+def _lengths(cell: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Lengths of the TF-IDF vectors of passages. idf: of all buckets, and 0 for empty places."""
+    start = np.ones(cell.shape, bool)
+    start[:, 1:] = cell[:, 1:] != cell[:, :-1]
+    at = np.flatnonzero(start)
+    x = np.diff(at, append=cell.size) * idf[cell.ravel()[at]]
+    return np.sqrt(np.add.reduceat(x * x, np.flatnonzero(at % PASSAGE == 0)))
+
+
+def _signs(cell: np.ndarray, wide: int) -> np.ndarray:
+    """Random signs of a passage, from its words."""
+    h = _SIGNS[cell].sum(1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.unpackbits(h.view(np.uint8), axis=1)[:, :wide].astype(np.float32) * 2 - 1
+
+
+def summed(cell: np.ndarray, idf: np.ndarray, basis: np.ndarray | None, wide: int, weight: float, out: np.ndarray) -> None:
+    """Adds to out, before the idf of its rows, X'XB for unit passages X and the basis B (that has its idf); without a basis X'S for random signs S."""
+    for k in range(0, len(cell), CHUNK):
+        part = cell[k : k + CHUNK]
+        length = _lengths(part, idf)
+        part, length = part[length > 0], length[length > 0]
+        if not len(part):
+            continue
+        y = _signs(part, wide) * np.float32(weight) / length[:, None].astype(np.float32)
+        if basis is not None:
+            y = basis[part.ravel()].reshape(len(part), PASSAGE, wide).sum(1) * ((weight / length) ** 2).astype(np.float32)[:, None]
+        flat = part.ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        out[flat[first]] += np.add.reduceat(y[order // PASSAGE], first)
+
+
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """passages: text, weight. BUCKETS x rank: leading right singular vectors, by randomised subspace iteration. Every pass sums a matrix over the partitions;
-    partial matrices are summed by blocks of rows on the executors, so one matrix comes to the driver however many partitions there are."""
-    n = passages.count()
-    passages = stage(passages.repartition(max(1, -(-n // PART_PASSAGES))), "passages")
+    """passages: cells, weight. BUCKETS x rank: leading right singular vectors of all of them, by a randomised SVD: a sketch, one power step, and Nystrom's form of what the
+    step gives. Both passes sum a matrix over the partitions; partial matrices are summed by blocks of rows on the executors, so one matrix comes to the driver however
+    many partitions there are."""
     wide = rank + OVERSAMPLE
+    padded = np.concatenate([idf, [0.0]])
+
+    def total(basis: np.ndarray | None) -> np.ndarray:
+        scaled = None if basis is None else np.concatenate([basis * idf[:, None], np.zeros((1, wide))]).astype(np.float32)
 
-    def total(kind: str, basis: np.ndarray | None, rows: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slot(None)
-            out = np.zeros((rows, wide), np.float32)
+            out = np.zeros((BUCKETS + 1, wide), np.float32)
             for b in batches:
-                for text, weight in zip(b.column("text").to_pylist(), b.column("weight").to_pylist(), strict=True):
-                    ids, x = _vector(text, idf)
-                    x = x * np.float32(weight)
-                    if kind == "sketch":  # Gaussian weights of a passage come from its text
-                        g = np.random.default_rng(zlib.crc32((text or "").encode("utf-8", "surrogatepass"))).standard_normal(wide, np.float32)
-                        out[ids] += x[:, None] * g
-                    else:
-                        y = x @ basis[ids]
-                        if kind == "power":
-                            out[ids] += x[:, None] * y
-                        else:
-                            out += np.outer(y, y)
-            for k in range(0, rows, ROW_BLOCK):
-                part = out[k : k + ROW_BLOCK]
+                weights = b.column("weight").to_numpy()
+                for weight in np.unique(weights).tolist():
+                    summed(_opened(b.filter(pa.array(weights == weight))), padded, scaled, wide, weight, out)
+            for k in range(0, BUCKETS, ROW_BLOCK):
+                part = out[k : k + ROW_BLOCK] if k + ROW_BLOCK < BUCKETS else out[k:BUCKETS]
                 if part.any():
                     yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
 
@@ -197,25 +241,26 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
             sums: dict[int, np.ndarray] = {}
             for b in batches:
                 for at, part in zip(b.column("at").to_pylist(), b.column("part").to_pylist(), strict=True):
-                    x = np.frombuffer(part, np.float32)
+                    x = np.frombuffer(part, np.float32).astype(np.float64)
                     sums[at] = sums[at] + x if at in sums else x
             for at, x in sums.items():
-                yield pa.record_batch([pa.array([at], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["at", "part"])
+                yield pa.record_batch([pa.array([at], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["at", "part"])
 
-        parts = passages.mapInArrow(run, "at int, part binary")
-        out = np.zeros((rows, wide), np.float32)
-        for r in parts.repartition("at").mapInArrow(add, "at int, part binary").collect():  # one matrix
+        out = np.zeros((BUCKETS, wide), np.float64)
+        for r in passages.mapInArrow(run, "at int, part binary").repartition("at").mapInArrow(add, "at int, part binary").collect():  # one matrix
             block = np.frombuffer(r.part, np.float32).reshape(-1, wide)
             out[r["at"] : r["at"] + len(block)] += block
-        return out
+        return out * idf[:, None]
 
-    basis, _ = np.linalg.qr(total("sketch", None, BUCKETS))
-    for _ in range(2):
-        basis, _ = np.linalg.qr(total("power", basis, BUCKETS))
-    value, vector = np.linalg.eigh(total("gram", basis, wide))
-    forget(passages)
-    keep = np.argsort(-value)[:rank]
-    return (basis @ vector[:, keep]).astype(np.float32)
+    basis, _ = np.linalg.qr(total(None))
+    power = total(basis)
+    inner = basis.T @ power
+    value, vector = np.linalg.eigh((inner + inner.T) / 2)
+    keep = value > 1e-6 * max(value.max(), 1e-30)
+    if not keep.any():
+        return np.zeros((BUCKETS, 1), np.float32)
+    left, _, _ = np.linalg.svd(power @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
+    return left[:, :rank].astype(np.float32)
 
 
 def clusters(points: np.ndarray, rounds: int = 6) -> list[np.ndarray]:
@@ -358,23 +403,15 @@ def _find(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n_items // item_block), -(-n_bytes // BLOCK_BYTES))
-    passages, df = document_frequencies(docs)
+    corpus, asked = stage(cells(docs), "passages"), stage(cells(items), "asked")
+    passages, df = document_frequencies(corpus)
     idf = np.maximum(np.log((passages + 1) / (df + 1)), 0) ** 1.5
-    picked = items.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ITEMS).select("text")
-    sample = hash_sample(docs.withColumnRenamed(carried[0], "doc_id"), SAMPLE_DOCS).select("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot(None)
-        for b in batches:
-            words = [t.split() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([pa.array([" ".join(w[k : k + PASSAGE]) for w in words for k in range(0, min(len(w), SAMPLE_PASSAGES * PASSAGE), PASSAGE)], pa.string())], ["text"])
-
-    sample = stage(sample.mapInArrow(cut, "text string"), "sample")
-    # the sample's weight is that of the items
-    weight = float(np.sqrt(max(1.0, 2.0 * sample.count() / max(1, min(n_items, SAMPLE_ITEMS)))))
+    # together the passages of the benchmark weigh twice what those of all documents do
+    n_asked = asked.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0] // (2 * PASSAGE)
+    weight = float(np.sqrt(max(1.0, 2.0 * passages / max(1, n_asked))))
+    space = latent_space(asked.withColumn("weight", F.lit(weight)).union(corpus.withColumn("weight", F.lit(1.0))), idf)
+    forget(corpus, asked)
     tidy(docs.sparkSession)
-    space = latent_space(picked.withColumn("weight", F.lit(weight)).union(sample.withColumn("weight", F.lit(1.0))), idf)
-    forget(sample)
 
     def search(docs: DataFrame, index: Index) -> DataFrame:
         carried = [c for c in docs.columns if c != "text"]

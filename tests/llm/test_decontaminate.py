@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate as D
 
@@ -123,3 +124,42 @@ def test_long_text_over_slices(spark):
     words[D.SLICE + 300 : D.SLICE + 300] = items[5][1].split()
     df, bench = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {4, 5} <= set(D.decontaminate(df, bench).first().item_ids)
+
+
+def test_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """More documents and items than the samples had, and one document of many passages: every passage of both enters the fit."""
+    rng = random.Random(7)
+    items = items_for(rng, 1100, (12, 45))
+    pick = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    docs = [(d, pick(60)) for d in range(500)] + [(500, pick(40 * 150))]
+    seen, fit = [], D.latent_space
+
+    def counted(passages, *rest):
+        n = F.lit(1) if "text" in passages.columns else F.octet_length("cells") / (2 * D.PASSAGE)
+        seen.append(passages.agg(F.sum(n)).first()[0])
+        return fit(passages, *rest)
+
+    monkeypatch.setattr(D, "latent_space", counted)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    D.decontaminate(df, bench)
+    assert seen == [sum(-(-len(t.split()) // D.PASSAGE) for _, t in docs + items)]
+
+
+def test_space_against_dense_svd(spark):
+    rng = random.Random(8)
+    docs = [(d, " ".join(rng.choice(WORDS[d % 7 :: 7] if k % 3 else WORDS) for k in range(100))) for d in range(300)]
+    passages = D.cells(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    n, df = D.document_frequencies(passages)
+    idf = np.log((n + 1) / (df + 1))
+    x = np.zeros((n, D.BUCKETS))
+    at = 0
+    for _, text in docs:
+        ids = D.bucket(D.hashed(text)[0])
+        for k in range(0, len(ids), D.PASSAGE):
+            np.add.at(x[at], ids[k : k + D.PASSAGE], idf[ids[k : k + D.PASSAGE]])
+            at += 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    space = D.latent_space(passages.withColumn("weight", F.lit(1.0)), idf, 16)
+    best = (np.linalg.svd(x, compute_uv=False)[:16] ** 2).sum()
+    assert at == n == 900 and np.allclose(space.T @ space, np.eye(16), atol=1e-4)
+    assert (np.asarray(x @ space) ** 2).sum() >= 0.95 * best
