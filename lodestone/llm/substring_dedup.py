@@ -171,7 +171,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
     forget(anchors, groups)
     tidy(docs.sparkSession)
     fields = "k_id long, k_hash long, lo int, hi int"
-    leaves = stage(texts.mapInArrow(suffixes, "k_id long, k_hash long, key long, same long, lo int, hi int, words binary, parts long"), "suffixes")
+
+    def leaves(which: str) -> DataFrame:
+        mine = texts.withColumn("found", F.expr(f"filter(found, x -> x.parts {which})")).filter(F.size("found") > 0)
+        return mine.mapInArrow(suffixes, "k_id long, k_hash long, key long, same long, lo int, hi int, words binary, parts long")
 
     def spans(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """Runs of deep leaves of whole groups."""
@@ -186,9 +189,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_cap:
             out = [t.column("k_id").take(at).combine_chunks(), t.column("k_hash").take(at).combine_chunks(), pa.array((offset[a] + lo[context[a]]).astype(np.int32)), pa.array((offset[z] + lo[context[z]]).astype(np.int32))]
             yield pa.record_batch(out, ["k_id", "k_hash", "lo", "hi"])
 
-    small = leaves.filter("parts = 1").select("k_id", "k_hash", "key", "lo", "hi", "words")
+    # suffixes take several times the room of their texts: those of whole groups go straight to the trees, and only those that are read again are stored
+    small = leaves("= 1").select("k_id", "k_hash", "key", "lo", "hi", "words")
     tree = small.repartition("key").sortWithinPartitions("key").mapInArrow(_by_group(spans), fields)
-    return tree.union(_in_parts(leaves.filter("parts > 1"), window)), texts
+    return tree.union(_in_parts(stage(leaves("> 1"), "suffixes"), window)), texts
 
 
 def _by_group(build: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -247,6 +251,8 @@ def _in_parts(leaves: DataFrame, window: int) -> DataFrame:
             yield pa.record_batch([b.column("same"), b.column("n"), each(0), each(1)], ["same", "n", "a", "z"])
 
     spans = stage(deep_leaves.mapInArrow(runs, "same long, n long, a array<int>, z array<int>"), "context-spans")
+    forget(found)
+    tidy(leaves.sparkSession)
     back = join_hot(leaves.select("k_id", "k_hash", "same", "lo"), spans, ["same"], "n", leaves.count())
     each = back.select("k_id", "k_hash", "lo", F.explode(F.arrays_zip("a", "z")).alias("s"))
     return each.select("k_id", "k_hash", (F.col("lo") + F.col("s.a")).alias("lo"), (F.col("lo") + F.col("s.z")).alias("hi"))
