@@ -7,13 +7,13 @@ passages together weigh twice what the corpus does. Texts are hashed once; what
 (latent inner product over the lengths of the full vectors) reaches a share of what the item has with itself are candidates. Windows meet the items of a
 cluster only if the length of the window's vector, and then the cluster's centre and radius, leave that possible: these bounds are exact, so retrieval finds what
 a comparison with all items would.
-Verification: the longest common subsequence of words of the item and of the region around the window; an item leaks if
+Verification: the longest common subsequence of words of the item and of the region around the window, unless they have too few words in common for one; an item leaks if
 at least LCS_SURE of its words match in order, or LCS_LEAST and the answer check holds: of the words of its closing
 sentence, ANSWER_SHARE appear in the region in order.
 
 The benchmark is the query set: it is taken in blocks of ITEM_BLOCK items or BLOCK_BYTES of text against all rows. Null texts are empty and
 never leak; items without words, or without id, match nothing that could be named (a nameless item still marks a document). Rows that repeat are judged alike, of equal
-shares all items are given. Texts are searched whole, SLICE words at a time. An empty benchmark leaks nowhere, empty tables give no rows. Extra columns are
+shares all items are given. Texts are searched whole, SLICE words at a time, short ones together. An empty benchmark leaks nowhere, empty tables give no rows. Extra columns are
 not carried along by `decontaminate`; `keep_clean` keeps all.
 """
 
@@ -34,8 +34,10 @@ BITS, PASSAGE = 14, 40
 BUCKETS = 1 << BITS
 RANK, OVERSAMPLE = 64, 16
 #: Passages of a stored row and of a step of the sums; rows of a matrix that travel together.
-CELL_ROWS, CHUNK, ROW_BLOCK = 128, 2048, 256
-_SIGNS = np.random.default_rng(2).integers(0, 1 << 63, (BUCKETS + 1, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+CELL_ROWS, CHUNK, ROW_BLOCK = 128, 4096, 256
+_SIGNS = np.random.default_rng(2).integers(0, 1 << 63, BUCKETS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Columns of the sketch that a passage is in; a bucket that a step has more often is summed by a product of matrices.
+SPREAD, OFTEN = 4, 64
 #: Items, and bytes of their texts, of a block.
 ITEM_BLOCK, BLOCK_BYTES = 8000, 32 << 20
 #: Words of a step, steps of a window and of one for items of up to SHORT words, share of an item's own cosine that makes a candidate.
@@ -188,34 +190,73 @@ def _lengths(cell: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.reduceat(x * x, np.flatnonzero(at % PASSAGE == 0)))
 
 
-def _signs(cell: np.ndarray, wide: int) -> np.ndarray:
-    """Random signs of a passage, from its words."""
+def _signs(cell: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """SPREAD columns of a sketch that many wide, one in each of its parts, and random signs there for each passage, from its words."""
     h = _SIGNS[cell].sum(1, dtype=np.uint64)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    return np.unpackbits(h.view(np.uint8), axis=1)[:, :wide].astype(np.float32) * 2 - 1
+    width = wide // SPREAD
+    bits = h[:, None] >> (np.arange(SPREAD, dtype=np.uint64) * np.uint64(64 // SPREAD))
+    return ((bits >> np.uint64(1)) % np.uint64(1 << 15) % np.uint64(width)).astype(np.int64) + np.arange(SPREAD) * width, (bits & np.uint64(1)).astype(np.float32) * 2 - 1
+
+
+def _row_sums(source: np.ndarray, index: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of source that index[first : first + size] names, for every segment of one row or more; with the order of the segments that the sums have."""
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    out = source[index[first]]
+    for k in range(1, int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k))
+        out[:n] += source[index[first[:n] + k]]
+    return order, out
+
+
+def _segments(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.empty(0, np.int64)
+    return first, np.diff(first, append=len(sorted_values))
 
 
 def summed(cell: np.ndarray, idf: np.ndarray, basis: np.ndarray | None, wide: int, weight: float, out: np.ndarray) -> None:
-    """Adds to out, before the idf of its rows, X'XB for unit passages X and the basis B (that has its idf); without a basis X'S for random signs S."""
+    """Adds to out, before the idf of its rows, X'XB for unit passages X and the basis B (that has its idf); without a basis X'S for sparse random signs S."""
     for k in range(0, len(cell), CHUNK):
         part = cell[k : k + CHUNK]
         length = _lengths(part, idf)
         part, length = part[length > 0], length[length > 0]
         if not len(part):
             continue
-        y = _signs(part, wide) * np.float32(weight) / length[:, None].astype(np.float32)
-        if basis is not None:
-            y = basis[part.ravel()].reshape(len(part), PASSAGE, wide).sum(1) * ((weight / length) ** 2).astype(np.float32)[:, None]
+        if basis is None:
+            column, sign = _signs(part, wide)
+            row = part.astype(np.int64) * wide
+            for j in range(SPREAD):
+                np.add.at(out.ravel(), (row + column[:, j, None]).ravel(), np.repeat(sign[:, j] * (weight / length).astype(np.float32), PASSAGE))
+            continue
         flat = part.ravel()
+        count = np.bincount(flat, minlength=BUCKETS + 1)
+        count[BUCKETS] = 0  # its row of the basis is 0
+        often = np.flatnonzero(count > OFTEN)
+        place = np.full(BUCKETS + 1, -1, np.int32)
+        place[often] = np.arange(len(often))
+        passage = np.repeat(np.arange(len(part)), PASSAGE)
+        dense = place[flat]
+        mine = dense >= 0
+        x = np.bincount(passage[mine] * len(often) + dense[mine], minlength=len(part) * len(often)).reshape(len(part), -1).astype(np.float32)
+        y = x @ basis[often]
+        rest = ~mine & (flat < BUCKETS)
+        flat, passage = flat[rest], passage[rest]
+        first, size = _segments(passage)
+        order, sums = _row_sums(basis, flat, first, size)
+        y[passage[first[order]]] += sums
+        y *= ((weight / length) ** 2).astype(np.float32)[:, None]
+        out[often] += x.T @ y
         order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        out[flat[first]] += np.add.reduceat(y[order // PASSAGE], first)
+        flat, passage = flat[order], passage[order]
+        first, size = _segments(flat)
+        order, sums = _row_sums(y, passage, first, size)
+        out[flat[first[order]]] += sums
 
 
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """passages: cells, weight. BUCKETS x rank: leading right singular vectors of all of them, by a randomised SVD: a sketch, one power step, and Nystrom's form of what the
+    """passages: cells, weight. BUCKETS x rank: leading right singular vectors of all of them, by a randomised SVD: a sketch by sparse signs, one power step, and Nystrom's form of what the
     step gives. Both passes sum a matrix over the partitions; partial matrices are summed by blocks of rows on the executors, so one matrix comes to the driver however
     many partitions there are."""
     wide = rank + OVERSAMPLE
@@ -277,8 +318,8 @@ def clusters(points: np.ndarray, rounds: int = 6) -> list[np.ndarray]:
 
 @dataclass
 class Index:
-    table: np.ndarray  # BUCKETS x rank: latent vectors of words, weighted
-    norms: np.ndarray  # squared weights of words
+    table: np.ndarray  # BUCKETS + 1 x rank: latent vectors of words, weighted; the last for empty places
+    norms: np.ndarray  # squared weights of words, and 0
     ids: list[int | None]
     words: list[list[int]]
     answers: list[list[int]]
@@ -287,16 +328,17 @@ class Index:
 
     @staticmethod
     def of(space: np.ndarray, idf: np.ndarray, items: list[tuple[int | None, str | None]]) -> Index:
-        table = (space * idf[:, None]).astype(np.float32)
+        table = np.concatenate([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
         vectors = [_vector(t, idf) for _, t in items]
         latent = np.array([x @ space[ids] for ids, x in vectors], np.float32).reshape(len(items), space.shape[1])
-        return Index(table, (idf**2).astype(np.float32), [i for i, _ in items], [words_of(t) for _, t in items], [answer_of(t) for _, t in items], latent, np.maximum((latent**2).sum(1), 1e-3))
+        return Index(table, np.concatenate([idf**2, [0.0]]).astype(np.float32), [i for i, _ in items], [words_of(t) for _, t in items], [answer_of(t) for _, t in items], latent, np.maximum((latent**2).sum(1), 1e-3))
 
 
 class Searcher:
     def __init__(self, index: Index):
         self.index = index
         self.patterns = [(_masks(w), len(w)) for w in index.words]
+        self.counts = [np.unique(np.array(w, np.uint64), return_counts=True) for w in index.words]
         self.answers = [(_masks(w), len(w)) for w in index.answers]
         goal = (index.latent / index.own[:, None]).astype(np.float32)
         sizes = np.array([len(w) for w in index.words], np.int64)
@@ -312,75 +354,100 @@ class Searcher:
                 longest = float(np.linalg.norm(goal[mine], axis=1).max()) * 1.0001 + 1e-6
                 self.widths.append((steps, longest, groups, np.array([c for _, _, c, _ in groups]).T.copy(), np.array([r for *_, r in groups], np.float32)))
 
-    def windows(self, ids: np.ndarray, steps: int, cell: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Latent sums and squared weights of the windows of that many steps."""
-        n = max(1, len(cell) - steps + 1)
-        total, square = cell[:n].copy(), weight[:n].copy()
-        for k in range(1, min(steps, len(cell))):
-            total += cell[k : k + n]
-            square += weight[k : k + n]
-        return total, square
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, words) of windows that reach the item's cosine."""
-        table, norms = self.index.table, self.index.norms
-        cell, weight = table[ids[::STEP]], norms[ids[::STEP]]
+    def candidates(self, ids: np.ndarray, starts: list[int] = [0]) -> list[tuple[int, int, int]]:  # noqa: B006
+        """(item, first word, words) of windows that reach the item's cosine. starts: of the texts, none of them empty, that ids holds one after another; no window crosses into the next."""
+        starts = np.array(starts, np.int64)
+        sizes = np.diff(starts, append=len(ids))
+        steps_of = -(-sizes // STEP)
+        ends = np.cumsum(np.maximum(steps_of, STEPS))
+        begin = np.concatenate([[0], ends[:-1]])
+        grid = np.full(ends[-1] * STEP, BUCKETS, np.int64)
+        grid[np.arange(len(ids)) + np.repeat(begin * STEP - starts, sizes)] = ids
+        grid = grid.reshape(-1, STEP)
+        cell, weight = self.index.table[grid[:, 0]], self.index.norms[grid].sum(1)
         for k in range(1, STEP):
-            part = ids[k::STEP]
-            cell[: len(part)] += table[part]
-            weight[: len(part)] += norms[part]
+            cell += self.index.table[grid[:, k]]
         out: list[tuple[int, int, int]] = []
         for steps, longest, groups, centres, radii in self.widths:
-            total, square = self.windows(ids, steps, cell, weight)
+            n = len(cell) - steps + 1
+            total, square = cell[:n].copy(), weight[:n].copy()
+            for k in range(1, steps):
+                total += cell[k : k + n]
+                square += weight[k : k + n]
             least = CANDIDATE * np.sqrt(np.maximum(square, 1e-9))
             length = np.sqrt(np.einsum("ij,ij->i", total, total))
-            rows = np.flatnonzero(length * longest >= least)
+            many = np.maximum(steps_of - steps + 1, 1)  # windows of each text
+            rows = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+            rows = rows[length[rows] * longest >= least[rows]]
             if not len(rows):
                 continue
             mine, need, size = total[rows], least[rows], length[rows]
+            of = np.searchsorted(begin, rows, "right") - 1
+            first = (rows - begin[of]) * STEP + starts[of]
             possible = mine @ centres + size[:, None] * radii >= need[:, None]
             for c in np.flatnonzero(possible.any(0)).tolist():
                 items, goals, _, _ = groups[c]
                 at = np.flatnonzero(possible[:, c])
                 window, item = np.nonzero(mine[at] @ goals >= need[at, None])
-                out += zip(items[item].tolist(), (rows[at[window]] * STEP).tolist(), [steps * STEP] * len(item), strict=True)
+                out += zip(items[item].tolist(), first[at[window]].tolist(), [steps * STEP] * len(item), strict=True)
         return out
 
-    def verify(self, item: int, region: list[int]) -> float:
+    def verify(self, item: int, region: np.ndarray) -> float:
         """Share of the item's words in order if it leaks, else 0."""
         pattern, size = self.patterns[item]
         if not size:
             return 0.0
-        share = lcs(pattern, size, region) / size
+        words, counts = self.counts[item]
+        at = np.minimum(np.searchsorted(words, region), len(words) - 1)
+        shared = words[at] == region
+        # no more words can match in order than the two have in common
+        if np.minimum(np.bincount(at[shared], minlength=len(words)), counts).sum() / size < LCS_LEAST:
+            return 0.0
+        share = lcs(pattern, size, region[shared].tolist()) / size
         if share >= LCS_SURE:
             return share
         if share >= LCS_LEAST:
             pattern, size = self.answers[item]
-            return share if lcs(pattern, size, region) >= ANSWER_SHARE * size else 0.0
+            return share if lcs(pattern, size, region.tolist()) >= ANSWER_SHARE * size else 0.0
         return 0.0
 
-    def leaks(self, text: str | None) -> dict[int, float]:
-        """Item → share of its words, over the whole text."""
-        words, _ = hashed(text)
-        ids = bucket(words)
-        if not len(ids) or not len(self.index.ids):
-            return {}
-        found: dict[int, float] = {}
-        done: set[tuple[int, int]] = set()
-        overlap = 2 * STEP * STEPS
-        for k in range(0, len(ids), SLICE):  # long texts by overlapping slices
-            low = max(0, k - overlap)
-            for item, at, width in self.candidates(ids[low : k + SLICE]):
-                at += low
+    def leaks(self, texts: list[str | None]) -> list[dict[int, float]]:
+        """Of each text, item → share of its words, over the whole text. Short texts are searched together."""
+        found: list[dict[int, float]] = [{} for _ in texts]
+        if not self.index.ids:
+            return found
+        held: list[tuple[int, np.ndarray, int, int]] = []  # text, its words, from, to
+        n = 0
+        done: set[tuple[int, int, int]] = set()
+
+        def search() -> None:
+            starts = np.cumsum([0, *(high - low for *_, low, high in held)])
+            for item, at, width in self.candidates(bucket(np.concatenate([words[low:high] for _, words, low, high in held])), starts[:-1].tolist()):
+                k = int(np.searchsorted(starts, at, "right")) - 1
+                text, words, low, _ = held[k]
+                at += low - int(starts[k])
                 size = self.patterns[item][1]
                 cell = at // max(width, size // 2)  # neighbours see the same region
-                if (item, cell) in done:
+                if (text, item, cell) in done:
                     continue
-                done.add((item, cell))
+                done.add((text, item, cell))
                 reach = max(width, size)
-                share = self.verify(item, words[max(0, at - reach) : at + width + reach].tolist())
-                if share > found.get(item, 0.0):
-                    found[item] = share
+                share = self.verify(item, words[max(0, at - reach) : at + width + reach])
+                if share > found[text].get(item, 0.0):
+                    found[text][item] = share
+            held.clear()
+
+        overlap = 2 * STEP * STEPS
+        for t, text in enumerate(texts):
+            words, _ = hashed(text)
+            for k in range(0, len(words), SLICE):  # long texts by overlapping slices
+                held.append((t, words, max(0, k - overlap), min(len(words), k + SLICE)))
+                n += held[-1][3] - held[-1][2]
+                if n >= SLICE:
+                    search()
+                    n = 0
+        if held:
+            search()
         return found
 
 
@@ -420,7 +487,7 @@ def _find(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -
             slot(None)
             searcher = Searcher(index)
             for b in batches:
-                found = [searcher.leaks(t) for t in b.column("text").to_pylist()]
+                found = searcher.leaks(b.column("text").to_pylist())
                 ids = [sorted({index.ids[i] for i in f if index.ids[i] is not None}) for f in found]
                 yield pa.record_batch([*map(b.column, carried), pa.array([bool(f) for f in found], pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found], pa.float64())], [*carried, "contaminated", "item_ids", "best_share"])
 

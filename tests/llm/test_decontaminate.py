@@ -163,3 +163,43 @@ def test_space_against_dense_svd(spark):
     best = (np.linalg.svd(x, compute_uv=False)[:16] ** 2).sum()
     assert at == n == 900 and np.allclose(space.T @ space, np.eye(16), atol=1e-4)
     assert (np.asarray(x @ space) ** 2).sum() >= 0.95 * best
+
+
+def test_sums_against_dense_matrices():
+    """One pass over passages with words that are rare, frequent, and repeated within a passage; and the sketch by its own signs."""
+    rng = np.random.default_rng(9)
+    cell = np.sort(np.where(rng.random((300, D.PASSAGE)) < 0.4, rng.integers(0, 6, (300, D.PASSAGE)), rng.integers(6, D.BUCKETS, (300, D.PASSAGE))), axis=1).astype(np.uint16)
+    cell[7], cell[8, 20:] = 11, D.BUCKETS
+    idf = np.concatenate([rng.uniform(1, 3, D.BUCKETS), [0.0]])
+    x = np.zeros((300, D.BUCKETS + 1))
+    for k, row in enumerate(cell):
+        np.add.at(x[k], row, 1.0)
+    x[:, D.BUCKETS] = 0
+    x /= np.linalg.norm(x * idf, axis=1, keepdims=True)
+    basis = np.concatenate([rng.normal(size=(D.BUCKETS, 24)), np.zeros((1, 24))]).astype(np.float32)
+    got = np.zeros((D.BUCKETS + 1, 24), np.float32)
+    D.summed(cell, idf, basis, 24, 2.0, got)
+    assert np.allclose(got[:-1], (4 * x.T @ (x @ basis))[:-1], rtol=1e-3, atol=1e-3)
+    column, sign = D._signs(cell, 24)
+    signs = np.zeros((300, 24))
+    signs[np.arange(300)[:, None], column] = sign
+    assert (np.abs(signs).sum(1) == D.SPREAD).all() and set(np.unique(sign)) == {-1.0, 1.0} and len(np.unique(column)) == 24
+    sketch = np.zeros((D.BUCKETS + 1, 24), np.float32)
+    D.summed(cell, idf, None, 24, 2.0, sketch)
+    assert np.allclose(sketch[:-1], (2 * x.T @ signs)[:-1], rtol=1e-3, atol=1e-3)
+
+
+def test_texts_together_are_as_texts_alone(monkeypatch):
+    """Windows don't cross from one text into the next, and subsequences are computed only where enough words are shared."""
+    rng = random.Random(10)
+    items = items_for(rng, 80)
+    space, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(D.BUCKETS, 64)))
+    searcher = D.Searcher(D.Index.of(space.astype(np.float32), np.random.default_rng(4).uniform(1, 3, D.BUCKETS), items))
+    texts = [None, "", "a", "?? !"] + [changed(rng, t, 0.1, "replace") for _, t in items] + [around(rng, t) for _, t in items[:20]]
+    texts += [half for _, t in items[:20] for half in (" ".join(t.split()[: len(t.split()) // 2]), " ".join(t.split()[len(t.split()) // 2 :]))]
+    asked, lcs = [], D.lcs
+    monkeypatch.setattr(D, "lcs", lambda pattern, size, words: asked.append((lcs(pattern, size, words), size, len(words))) or lcs(pattern, size, words))
+    together = searcher.leaks(texts)
+    assert all(n >= D.LCS_LEAST * size for _, size, n in asked)
+    assert together == [searcher.leaks([t])[0] for t in texts]
+    assert sum(map(bool, together)) >= 95 and not any(together[-40:][k].get(k // 2) for k in range(40) if len(items[k // 2][1].split()) > 20)
