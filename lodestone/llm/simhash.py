@@ -39,24 +39,33 @@ SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
 SLICE = 65536
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+def hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the shingles in order, repeats included."""
     data = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not data:
-        return 0
+        return np.empty(0, np.uint64)
     n = len(data)
     digest = xxhash.xxh64_intdigest
-    if n <= words:
-        return digest(b" ".join(data), SEED)
     joined = b" ".join(data)
+    if n <= words:
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, data), np.int64, n) + 1) - 1
     starts = np.empty(n, np.int64)
     starts[0], starts[1:] = 0, ends[:-1] + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n - words + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n - words + 1)
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     total = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), SLICE):
-        part = hashes[k : k + SLICE]
+    for k in range(0, len(found), SLICE):
+        part = found[k : k + SLICE]
         total += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(total * 2 > len(hashes)).tolist())
+    return sum(1 << i for i in np.flatnonzero(total * 2 > len(found)).tolist())
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return majority(hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:

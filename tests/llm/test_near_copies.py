@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_copies
+from lodestone.llm import near_copies, simhash
 
 
 def sets_of(text):
@@ -64,3 +64,38 @@ def test_stage_leaves_no_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = [sets_of(r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert not any(near(a, b) for i, a in enumerate(left) for b in left[:i])
+
+
+def test_links_come_through_the_index(spark, monkeypatch):
+    """Fingerprints of all texts, on five words, go through op10's index; what it links is verified by whole sets, and what it can't link is found all the same."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    again = " ".join(word() for _ in range(7))
+    rows = [(k, " ".join([again] * 40 + [word() for _ in range(12)])) for k in range(3)]  # one fingerprint, different sets
+    words = [word() for _ in range(400)]
+    for k in range(4):  # one word of 400: near copies within few bits
+        rows.append((10 + k, " ".join([*words[:-1], word()] if k else words)))
+    words = [word() for _ in range(100)]
+    rows += [(20, " ".join(words)), (21, " ".join(words[:97] + [word(), word(), word()] + words[97:]))]
+    asked, links, looked, passed, verify = [], simhash.links, [], [], near_copies._verified
+
+    def counted(nodes, *rest):
+        asked.extend(r.fp for r in nodes.collect())
+        return links(nodes, *rest)
+
+    def seen(texts, pairs, words):
+        pairs = pairs.localCheckpoint()
+        looked.append({(r.a, r.b) for r in pairs.collect()})
+        out = verify(texts, pairs, words)
+        passed.append({(r.a, r.b) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(simhash, "links", counted)
+    monkeypatch.setattr(near_copies, "_verified", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == kept(rows) == [0, 1, 2, 10, 20]
+    fps = {k: simhash.fingerprint(t, 5) for k, t in rows}
+    assert {f % 2**64 for f in asked} == set(fps.values())
+    bits = lambda a, b: (fps[a] ^ fps[b]).bit_count()
+    assert bits(0, 1) <= 2 and bits(20, 21) > 2 and any(bits(10, k) <= 2 for k in (11, 12, 13))
+    assert passed[0] and looked[0] - passed[0] and not any(passed[0] & p for p in looked[1:])
